@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtable.llm import mixing, packing, wavelet
+from loomtable.llm import ann, chat, language, licenses, mixing, packing, topk, wavelet
 from loomtable.llm.common import table
 
 
@@ -17,6 +17,24 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select(F.col("_row.doc_id").alias("doc_id"), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_taken")).alias("taken"))
 
 
+def op3_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and templates in all documents."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one of control strings, formatted and read back."""
+    rows = chat.turn_rows(table(spark, sf_dir, "conversations"))
+    odd = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], rows.schema)
+    return chat.digests(chat.format_chat(rows.unionByName(more)))
+
+
+def op6_collision_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found by collision counting for every twentieth vector."""
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op7_wavelet_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents, read back from wavelet matrix shards."""
     return wavelet.token_output(table(spark, sf_dir, "documents"))
@@ -27,5 +45,15 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_source_mixing, op7_wavelet_output, op8_packing)}
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents."""
+    return language.language_id(table(spark, sf_dir, "documents"))
+
+
+def op10_histogram_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 highest integer inner products for every fiftieth vector."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_source_mixing, op3_license_templates, op5_chat_format, op6_collision_ann, op7_wavelet_output, op8_packing, op9_language_id, op10_histogram_topk)}
 ORACLE_SQL: dict[str, str] = {}
