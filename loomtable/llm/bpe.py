@@ -3,74 +3,134 @@
 from __future__ import annotations
 
 import re
+import string
 import struct
 
+import numpy as np
+
 #: A space that is neither before nor after another white space starts a pre-token of byte-level BPE.
 _DOUBLE = re.compile(r"\s (?:\s|$)")
+_MARKS = string.punctuation
 _LIVE: dict[str, SegmentEncoder] = {}
 
 
+class _Segments(dict):
+    """Ids of segments; a missing one is noted and stands for itself."""
+
+    def __init__(self):
+        super().__init__()
+        self.wanted: dict[str, None] = {}
+        self.misses = 0
+
+    def __missing__(self, segment: str) -> str:
+        self.misses += 1
+        self.wanted[segment] = None
+        return segment
+
+
 class SegmentEncoder:
     """Ids of a text as little-endian unsigned 32-bit integers.
 
     Byte-level BPE never merges across a pre-token's end, and a space beside
     a visible character always begins a pre-token.  A text is therefore cut
-    at such spaces, and each distinct segment is encoded once by the
-    library.  Texts with runs of white space around a space are encoded
-    whole.  The cache holds ``limit`` segments at most; it is renewed when
-    too many look-ups miss it.  Strings of special tokens inside a text are
-    ordinary text.
+    at such spaces.  A segment that isn't known yet is cut further, at line
+    ends and before final punctuation, and each distinct part is encoded once
+    by the library.  Texts with runs of white space around a space are
+    encoded whole.  Both caches are bounded by ``limit``; they are renewed
+    when too many look-ups miss them.  Strings of special tokens inside a
+    text are ordinary text.
     """
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 350_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.limit, self.cache, self.asked, self.missed = limit, {}, 0, 0
+        self.limit, self.segments, self.parts = limit, _Segments(), {}
+        self.asked = self.missed = 0
+        self.begins = np.array([x.startswith("\u0120") for x, _ in sorted(self.tokenizer.get_vocab().items(), key=lambda v: v[1])])
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters alone, each behind a space: they are encoded many at once and cut where a token begins with the space."""
+        out: list[bytes] = []
+        groups = [words[k : k + 200] for k in range(0, len(words), 200)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            cut = np.flatnonzero(self.begins[ids]).tolist()
+            if len(cut) != len(group):
+                out += self._ids([" " + w for w in group])
+                continue
+            data = ids.tobytes()
+            out += [data[4 * a : 4 * b] for a, b in zip(cut, [*cut[1:], len(ids)], strict=True)]
+        return out
+
+    def _cut(self, segment: str) -> list[str]:
+        """Parts of a segment; a part that no space stands before begins with \\0."""
+        if "\n" not in segment:
+            core = segment.rstrip(_MARKS)
+            if len(core) < len(segment) and (core.isalpha() or core[:1] == "\0" and core[1:].isalpha()):
+                return [core, "\0" + segment[len(core) :]]
+            return [segment]
+        first, *rest = segment.split("\n")
+        lines = [first]
+        if all(x and not x[0].isspace() and not x[-1].isspace() for x in (first.lstrip("\0"), *rest)):
+            lines += [y for x in rest for y in ("\0\n", "\0" + x)]
+        else:
+            return [segment]
+        return [y for x in lines for y in (self._cut(x) if x != "\0\n" else [x])]
+
+    def _resolve(self, wanted: dict[str, None]) -> dict[str, bytes]:
+        cut = {w: self._cut(w) for w in wanted}
+        parts = self.parts
+        new = list(dict.fromkeys(p for c in cut.values() for p in c if p not in parts))
+        words, others = [p for p in new if p.isalpha()], [p for p in new if not p.isalpha()]
+        got = dict(zip(words, self._words(words), strict=True)) | dict(zip(others, self._ids([p[1:] if p[:1] == "\0" else " " + p for p in others]), strict=True))
+        own = {w: b"".join([parts[p] if p in parts else got[p] for p in c]) for w, c in cut.items()}
+        self.missed += len(new)
+        if len(parts) + len(got) <= self.limit:
+            parts.update(got)
+        if len(self.segments) + len(own) <= self.limit:
+            self.segments.update(own)
+        return own
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        if self.asked > 1_000_000:
-            if self.missed > 0.3 * self.asked:
-                self.cache.clear()
+        if self.asked > 5_000_000:
+            if self.missed > 0.2 * self.asked:
+                self.segments.clear()
+                self.parts.clear()
             self.asked = self.missed = 0
-        cut: list[list[str] | None] = []
+        out: list[bytes] = []
+        again: list[tuple[int, list[bytes | str]]] = []
+        segments = self.segments
+        segments.wanted = {}
+        get = segments.__getitem__
         for x in texts:
             if not x or "\0" in x or " " in x and _DOUBLE.search(x):
-                cut.append(None)
+                out.append(self._ids([x])[0] if x else b"")
                 continue
-            first, *rest = x.split(" ")
-            if not first:
-                if not rest or not rest[0]:
-                    cut.append(None)
-                    continue
-                cut.append(rest)
+            c = x.split(" ")
+            if c[0]:
+                c[0] = "\0" + c[0]
             else:
-                # the first segment has no space before it; \0 keeps its key apart
-                cut.append(["\0" + first, *rest])
-        cache, own = self.cache, {}
-        out = []
-        wanted: dict[str, None] = {}
-        for c in cut:
-            if c is not None:
-                self.asked += len(c)
-                wanted.update(dict.fromkeys(w for w in c if w not in cache))
-        if wanted:
-            new = list(wanted)
-            self.missed += len(new)
-            own = dict(zip(new, self._ids([w[1:] if w[:1] == "\0" else " " + w for w in new]), strict=True))
-            if len(cache) + len(own) <= self.limit:
-                cache.update(own)
-        for x, c in zip(texts, cut, strict=True):
-            if c is None:
-                out.append(self._ids([x])[0] if x else b"")
-            elif own:
-                out.append(b"".join([cache[w] if w in cache else own[w] for w in c]))
+                del c[0]
+                if not c or not c[0]:
+                    out.append(self._ids([x])[0])
+                    continue
+            self.asked += len(c)
+            before = segments.misses
+            found = list(map(get, c))
+            if segments.misses > before:
+                again.append((len(out), found))
+                out.append(b"")
             else:
-                out.append(b"".join(map(cache.__getitem__, c)))
+                out.append(b"".join(found))
+        if again:
+            own = self._resolve(segments.wanted)
+            for k, found in again:
+                out[k] = b"".join([x if x.__class__ is bytes else own[x] for x in found])
         return out
 
 

@@ -179,7 +179,7 @@ class WaveletShard:
         return values
 
 
-def write_shards(docs: DataFrame, path: str, vocabulary: str | None = None, shard_tokens: int = 4 << 20) -> DataFrame:
+def write_shards(docs: DataFrame, path: str, vocabulary: str | None = None, shard_tokens: int = 1 << 20) -> DataFrame:
     """Encode documents and write them in ascending doc_id order; returns the manifest of shards.
 
     A task writes the files of its range of ids, each of about
