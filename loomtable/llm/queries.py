@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtable.llm import ann, chat, language, licenses, mixing, packing, topk, wavelet
+from loomtable.llm import ann, chat, jaccard, language, licenses, mixing, packing, topk, wavelet
 from loomtable.llm.common import table
 
 
@@ -22,6 +22,11 @@ def op3_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one of control strings, formatted and read back."""
     rows = chat.turn_rows(table(spark, sf_dir, "conversations"))
@@ -55,5 +60,5 @@ def op10_histogram_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_source_mixing, op3_license_templates, op5_chat_format, op6_collision_ann, op7_wavelet_output, op8_packing, op9_language_id, op10_histogram_topk)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_source_mixing, op3_license_templates, op4_jaccard_join, op5_chat_format, op6_collision_ann, op7_wavelet_output, op8_packing, op9_language_id, op10_histogram_topk)}
 ORACLE_SQL: dict[str, str] = {}
