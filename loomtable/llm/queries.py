@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtable.llm import ann, chat, jaccard, language, licenses, mixing, packing, topk, wavelet
+from loomtable.llm import ann, chat, jaccard, language, licenses, mixing, packing, suffix_tree, topk, wavelet
 from loomtable.llm.common import table
 
 
+def op1_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probabilities of all documents under a probabilistic suffix tree over words."""
+    return suffix_tree.score(table(spark, sf_dir, "documents"))
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of all documents takes, by hash thresholds a source."""
     r = mixing.mix(table(spark, sf_dir, "documents"))
@@ -60,5 +65,5 @@ def op10_histogram_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_source_mixing, op3_license_templates, op4_jaccard_join, op5_chat_format, op6_collision_ann, op7_wavelet_output, op8_packing, op9_language_id, op10_histogram_topk)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_tree, op2_source_mixing, op3_license_templates, op4_jaccard_join, op5_chat_format, op6_collision_ann, op7_wavelet_output, op8_packing, op9_language_id, op10_histogram_topk)}
 ORACLE_SQL: dict[str, str] = {}
