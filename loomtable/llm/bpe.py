@@ -1,136 +1,157 @@
-"""Encoding of whole texts by the tokenizers library, with a bounded cache of segments."""
+"""Encoding of whole texts by the tokenizers library, each distinct segment once."""
 
 from __future__ import annotations
 
-import re
-import string
-import struct
-
 import numpy as np
 
-#: A space that is neither before nor after another white space starts a pre-token of byte-level BPE.
-_DOUBLE = re.compile(r"\s (?:\s|$)")
-_MARKS = string.punctuation
+from loomtable.llm.words import span_hashes
+
 _LIVE: dict[str, SegmentEncoder] = {}
 
 
-class _Segments(dict):
-    """Ids of segments; a missing one is noted and stands for itself."""
+def _table(members) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[list(members)] = True
+    return out
+
+
+_BLANK = _table([0x20, *range(0x09, 0x0E), *range(0x1C, 0x20)])
+_ALNUM = _table(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+#: Bytes that begin a visible character for sure: ASCII but no control and no space, and first bytes of blocks without white space.
+_VISIBLE = _table([*range(0x21, 0x7F), *range(0xC3, 0xE1), *range(0xE4, 0xF5)])
+
 
-    def __init__(self):
-        super().__init__()
-        self.wanted: dict[str, None] = {}
-        self.misses = 0
+def segment_starts(data: np.ndarray) -> np.ndarray:
+    """Where segments begin in texts that are joined, begun and ended by a zero byte.
 
-    def __missing__(self, segment: str) -> str:
-        self.misses += 1
-        self.wanted[segment] = None
-        return segment
+    Byte-level BPE never merges across a pre-token's end, so a text may be cut
+    wherever a pre-token is sure to begin: at a space that stands behind a
+    visible ASCII character or before a visible one; before and behind a
+    full stop or comma between a letter or digit and a letter, digit or white
+    space; and around a line end between visible characters.  Each zero byte
+    is a segment of its own.
+    """
+    before, after = np.concatenate([data[:1], data[:-1]]), np.concatenate([data[1:], data[-1:]])
+    # C3 xx are letters, but for the signs of multiplication and division
+    second = np.concatenate([data[:2], data[:-2]])
+    latin = (second == 0xC3) & (before >= 0x80) & (before != 0x97) & (before != 0xB7)
+    word_before = _ALNUM[before] | latin
+    ascii_before = (before < 0x80) & _VISIBLE[before]
+    next_latin = after == 0xC3
+    if next_latin.any():  # the sign of multiplication or division may follow
+        third = np.concatenate([data[2:], data[-1:], data[-1:]])
+        next_latin &= (third != 0x97) & (third != 0xB7)
+    word_after = _ALNUM[after] | next_latin
+    seen_after = _VISIBLE[after]
+    space = (data == 0x20) & (ascii_before | seen_after)
+    mark = ((data == 0x2E) | (data == 0x2C)) & word_before & (word_after | (after == 0x20) | (after == 0x0A) | (after == 0))
+    line = (data == 0x0A) & (ascii_before | latin) & seen_after
+    alone = mark | line | (data == 0)
+    starts = space | alone
+    starts[1:] |= alone[:-1]
+    starts[0] = True
+    return np.flatnonzero(starts)
 
 
 class SegmentEncoder:
-    """Ids of a text as little-endian unsigned 32-bit integers.
-
-    Byte-level BPE never merges across a pre-token's end, and a space beside
-    a visible character always begins a pre-token.  A text is therefore cut
-    at such spaces.  A segment that isn't known yet is cut further, at line
-    ends and before final punctuation, and each distinct part is encoded once
-    by the library.  Texts with runs of white space around a space are
-    encoded whole.  Both caches are bounded by ``limit``; they are renewed
-    when too many look-ups miss them.  Strings of special tokens inside a
-    text are ordinary text.
+    """Ids of whole texts.
+
+    Texts are cut by ``segment_starts``; segments are told apart by 64-bit
+    hashes, and each distinct one is encoded by the library once a call, or
+    taken from the cache.  The cache holds ``limit`` segments that were seen
+    in two calls at most, and is renewed when too many look-ups miss it.
+    Strings of special tokens inside a text are ordinary text.  Texts with a
+    zero byte are encoded whole.
     """
 
-    def __init__(self, path: str, limit: int = 350_000):
+    def __init__(self, path: str, limit: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.limit, self.segments, self.parts = limit, _Segments(), {}
+        self.limit, self.cache, self.once = limit, {}, {}
         self.asked = self.missed = 0
-        self.begins = np.array([x.startswith("\u0120") for x, _ in sorted(self.tokenizer.get_vocab().items(), key=lambda v: v[1])])
+        self.begins = np.array([x.startswith("Ġ") for x, _ in sorted(self.tokenizer.get_vocab().items(), key=lambda v: v[1])])
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _words(self, words: list[str]) -> list[bytes]:
         """Ids of words of letters alone, each behind a space: they are encoded many at once and cut where a token begins with the space."""
         out: list[bytes] = []
         groups = [words[k : k + 200] for k in range(0, len(words), 200)]
-        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, "<u4")
+        for group, ids in zip(groups, self._ids(["".join(g) for g in groups]), strict=True):
             cut = np.flatnonzero(self.begins[ids]).tolist()
             if len(cut) != len(group):
-                out += self._ids([" " + w for w in group])
+                out += [x.tobytes() for x in self._ids(group)]
                 continue
             data = ids.tobytes()
             out += [data[4 * a : 4 * b] for a, b in zip(cut, [*cut[1:], len(ids)], strict=True)]
         return out
 
-    def _cut(self, segment: str) -> list[str]:
-        """Parts of a segment; a part that no space stands before begins with \\0."""
-        if "\n" not in segment:
-            core = segment.rstrip(_MARKS)
-            if len(core) < len(segment) and (core.isalpha() or core[:1] == "\0" and core[1:].isalpha()):
-                return [core, "\0" + segment[len(core) :]]
-            return [segment]
-        first, *rest = segment.split("\n")
-        lines = [first]
-        if all(x and not x[0].isspace() and not x[-1].isspace() for x in (first.lstrip("\0"), *rest)):
-            lines += [y for x in rest for y in ("\0\n", "\0" + x)]
-        else:
-            return [segment]
-        return [y for x in lines for y in (self._cut(x) if x != "\0\n" else [x])]
-
-    def _resolve(self, wanted: dict[str, None]) -> dict[str, bytes]:
-        cut = {w: self._cut(w) for w in wanted}
-        parts = self.parts
-        new = list(dict.fromkeys(p for c in cut.values() for p in c if p not in parts))
-        words, others = [p for p in new if p.isalpha()], [p for p in new if not p.isalpha()]
-        got = dict(zip(words, self._words(words), strict=True)) | dict(zip(others, self._ids([p[1:] if p[:1] == "\0" else " " + p for p in others]), strict=True))
-        own = {w: b"".join([parts[p] if p in parts else got[p] for p in c]) for w, c in cut.items()}
-        self.missed += len(new)
-        if len(parts) + len(got) <= self.limit:
-            parts.update(got)
-        if len(self.segments) + len(own) <= self.limit:
-            self.segments.update(own)
-        return own
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if self.asked > 5_000_000:
-            if self.missed > 0.2 * self.asked:
-                self.segments.clear()
-                self.parts.clear()
+    def _look_up(self, hashes: list[int], where: list[tuple[int, int]], data: bytes) -> list[bytes]:
+        """Ids of distinct segments, given by hash and place."""
+        if self.asked > 2_000_000:
+            if self.missed > 0.5 * self.asked:
+                self.cache.clear()
             self.asked = self.missed = 0
-        out: list[bytes] = []
-        again: list[tuple[int, list[bytes | str]]] = []
-        segments = self.segments
-        segments.wanted = {}
-        get = segments.__getitem__
-        for x in texts:
-            if not x or "\0" in x or " " in x and _DOUBLE.search(x):
-                out.append(self._ids([x])[0] if x else b"")
-                continue
-            c = x.split(" ")
-            if c[0]:
-                c[0] = "\0" + c[0]
-            else:
-                del c[0]
-                if not c or not c[0]:
-                    out.append(self._ids([x])[0])
-                    continue
-            self.asked += len(c)
-            before = segments.misses
-            found = list(map(get, c))
-            if segments.misses > before:
-                again.append((len(out), found))
-                out.append(b"")
-            else:
-                out.append(b"".join(found))
-        if again:
-            own = self._resolve(segments.wanted)
-            for k, found in again:
-                out[k] = b"".join([x if x.__class__ is bytes else own[x] for x in found])
+        cache, once = self.cache, self.once
+        out = list(map(cache.get, hashes))
+        miss = [k for k, x in enumerate(out) if x is None]
+        self.asked += len(out)
+        self.missed += len(miss)
+        new = []
+        for k in miss:
+            if (x := once.pop(hashes[k], None)) is None:
+                new.append(k)
+            else:  # seen for the second time
+                out[k] = x
+                if len(cache) < self.limit:
+                    cache[hashes[k]] = x
+        texts = [data[where[k][0] : where[k][1]].decode("utf-8", "replace") for k in new]
+        plain = [k for k, x in enumerate(texts) if x[0] == " " and x[1:].isalpha()]
+        odd = [k for k, x in enumerate(texts) if not (x[0] == " " and x[1:].isalpha())]
+        got: list = [None] * len(new)
+        for k, x in zip(plain, self._words([texts[k] for k in plain]), strict=True):
+            got[k] = x
+        for k, x in zip(odd, self._ids([texts[k] for k in odd]), strict=True):
+            got[k] = x.tobytes()
+        if len(once) + len(new) > self.limit:
+            once.clear()
+        for k, x in zip(new, got, strict=True):
+            out[k] = x
+            once[hashes[k]] = x
+        return out
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of UTF-8 texts, as little-endian unsigned 32-bit integers."""
+        out: list[bytes] = [b""] * len(texts)
+        whole = [k for k, x in enumerate(texts) if b"\0" in x]
+        for k, ids in zip(whole, self._ids([texts[k].decode("utf-8", "replace") for k in whole]), strict=True):
+            out[k] = ids.tobytes()
+        rest = [k for k, x in enumerate(texts) if x and b"\0" not in x]
+        if not rest:
+            return out
+        joined = b"\0".join([b"", *(texts[k] for k in rest), b""])
+        data = np.frombuffer(joined, np.uint8)
+        starts = segment_starts(data)
+        ends = np.append(starts[1:], len(data))
+        hashes = span_hashes(data, starts, ends)
+        limits = data[starts] == 0  # the zero bytes between texts have no ids
+        unique, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        first = first.tolist()
+        ids = self._look_up(unique.tolist(), list(zip(starts[first].tolist(), ends[first].tolist(), strict=True)), joined)
+        zero = which[0]
+        ids[zero] = b""
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        length = np.array([len(x) // 4 for x in ids])
+        place = np.cumsum(length) - length
+        n = length[which]
+        end = np.cumsum(n)
+        result = flat[np.repeat(place[which] - (end - n), n) + np.arange(int(end[-1]))].tobytes()
+        bound = (4 * end[limits]).tolist()
+        for k, a, b in zip(rest, bound[:-1], bound[1:], strict=True):
+            out[k] = result[a:b]
         return out
 
 

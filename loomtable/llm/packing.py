@@ -91,9 +91,9 @@ def cut_pieces(docs: DataFrame, vocabulary: str, size: int) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, step = encoder(vocabulary), 4 * size
-        for batch, texts in pieces(batches, 1):
+        for batch, texts in pieces(batches, 1, 4 << 20):
             cols: list[list] = [[], [], [], [], []]
-            for doc_id, ids in zip(batch.column(0).to_pylist(), enc.encode([x.decode("utf-8", "replace") for x in texts]), strict=True):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), enc.encode(texts), strict=True):
                 ids += END
                 for at in range(0, len(ids), step):
                     part = ids[at : at + step]

@@ -213,8 +213,8 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str | None = None, shar
             ids, names, part, size = [], [], part + 1, 0
             return row
 
-        for batch, texts in pieces(batches, 1):
-            for doc_id, x in zip(batch.column(0).to_pylist(), enc.encode([x.decode("utf-8", "replace") for x in texts]), strict=True):
+        for batch, texts in pieces(batches, 1, 4 << 20):
+            for doc_id, x in zip(batch.column(0).to_pylist(), enc.encode(texts), strict=True):
                 ids.append(x + END)
                 names.append(doc_id)
                 size += len(x) // 4 + 1

@@ -13,7 +13,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256)
 _LOWER[0x41:0x5B] += 32
-_VALUE = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64)[_LOWER] | np.uint64(1)
+_EXACT = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
+_VALUE = _EXACT[_LOWER]
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _CHUNK = 4 << 20
@@ -38,30 +39,36 @@ def _power(n: int) -> list[np.ndarray]:
     return _powers
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, and the number of words of each text."""
-    data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
-    if not texts:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    space = _SPACE[data]
-    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
-    if not space[0]:
-        edge = np.concatenate([[0], edge])
-    starts, ends = edge[0::2], edge[1::2]
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, value: np.ndarray = _EXACT) -> np.ndarray:
+    """Hashes of the spans [start, end) of a byte array, which don't overlap and ascend."""
     out = np.empty(len(starts), np.uint64)
     k = 0
     while k < len(starts):
-        # words up to about _CHUNK bytes from the first one's start
+        # spans up to about _CHUNK bytes from the first one's start
         at = int(starts[k])
         last = max(k + 1, int(np.searchsorted(ends, at + _CHUNK, "right")))
         end = int(ends[last - 1])
         up, down = _power(max(_CHUNK, end - at))
         run = np.empty(end - at + 1, np.uint64)
         run[0] = 0
-        np.cumsum(_VALUE[data[at:end]] * up[: end - at], out=run[1:])
+        np.cumsum(value[data[at:end]] * up[: end - at], out=run[1:])
         s, e = starts[k:last] - at, ends[k:last] - at
         out[k:last] = mix((run[e] - run[s]) * down[s])
         k = last
+    return out
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in order, and the number of words of each text."""
+    data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
+    if not texts:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    space = _SPACE[data]
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+    if not space[0]:
+        edge = np.concatenate([[0], edge])
+    starts, ends = edge[0::2], edge[1::2]
+    out = span_hashes(data, starts, ends, _VALUE)
     sizes = np.array([len(x) + 1 for x in texts])
     bound = np.cumsum(sizes)
     upto = np.searchsorted(starts, bound, "left")
