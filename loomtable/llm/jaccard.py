@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomtable.llm.common import bounded_batches, partitions, pieces, salted_join, work_dir, written
+from loomtable.llm.common import bounded_batches, dropped, partitions, pieces, released, salted_join, work_dir, written
 from loomtable.llm.components import components
 from loomtable.llm.packed import pack, unpack
 from loomtable.llm.words import mix, shingle_sets
@@ -35,6 +35,10 @@ HOT, SALTS = 4096, 64
 #: Bits of the filter by which documents that need no set are passed over.
 FILTER_BITS = 1 << 26
 CHUNK_BYTES = 32 << 20
+#: Rounds in which classes are tied to leaders before the pairs that are left are compared.
+ROUNDS = 3
+#: Ranges of the hash that the suffix filter compares.
+BINS = 256
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -170,8 +174,30 @@ def _possible(percent: int) -> Column:
     return F.expr(f"{percent}L * greatest(n, m) <= 100L * least(n, m) AND 1 + least(n - 1 - a, m - 1 - b) >= {need}")
 
 
-def _sets(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(node, shingles) for each row of ``wanted`` (node, doc_id)."""
+def bins(s: np.ndarray) -> np.ndarray:
+    """How many shingles of a sorted set lie in each of BINS equal ranges of the hash."""
+    return np.bincount((s >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64), minlength=BINS).astype("<u2" if len(s) < 65536 else "<u4")
+
+
+def _leaders(placed: DataFrame, number: int, percent: int) -> DataFrame:
+    """Pairs (u, v): each class with one leader of another component.
+
+    A token has two leaders in each band of sizes, of different components,
+    by an order that differs from round to round.
+    """
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(1.25)))).cast("int")
+    banded = placed.withColumn("band", band)
+    one = F.struct(F.xxhash64("root", F.lit(number)).alias("order"), F.xxhash64("node", F.lit(number)).alias("within"), "root", "node", "n", "at")
+    # the least leader of the least component, and of the greatest
+    ends = banded.groupBy("token", "band").agg(F.min(one).alias("x"), F.max(one).alias("y")).where("x.node != y.node")
+    ends = ends.select("token", "band", F.explode(F.array("x", "y")).alias("l")).select("token", "band", F.col("l.node").alias("v"), F.col("l.root").alias("rv"), F.col("l.n").alias("m"), F.col("l.at").alias("b"))
+    pairs = salted_join(banded, ends, ["token", "band"], F.col("node"), 4).where("root != rv").groupBy(F.col("node").alias("u"), "v").agg(F.min(F.struct(F.col("at").alias("a"), "b", "n", "m")).alias("f"), F.count("*").alias("shared"))
+    pairs = pairs.select("u", "v", "shared", "f.*").where(_possible(percent))
+    return pairs.groupBy("u").agg(F.max(F.struct("shared", "v")).alias("p")).select("u", F.col("p.v").alias("v"))
+
+
+def _cells(texts: DataFrame, wanted: DataFrame, width: int, make) -> DataFrame:
+    """(node, cell) with make(shingles) of the documents of ``wanted`` (doc_id); a few others may be among them, and repeated rows give repeated cells."""
     spark = texts.sparkSession
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,6 +214,8 @@ def _sets(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
         return pd.DataFrame({"part": [int(group["part"].iloc[0])], "bits": [pack(np.bitwise_or.reduce([unpack(x, np.uint8) for x in group["bits"]]))]})
 
     parts = wanted.select("doc_id").mapInArrow(fill, "part int, bits binary").groupBy("part").applyInPandas(either, "part int, bits binary").collect()
+    if not parts:
+        return spark.createDataFrame([], "node long, cell binary")
     shared = spark.sparkContext.broadcast(np.concatenate([unpack(r["bits"], np.uint8) for r in sorted(parts, key=lambda r: r["part"])]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,43 +226,62 @@ def _sets(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             some = np.flatnonzero((bits[h >> 3] >> (h & 7)) & 1 & np.asarray(batch.column(0).is_valid()))
             if len(some):
                 sets = shingle_sets([xs[k] for k in some], width)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[some], pa.int64()), pa.array([_node(s) for s in sets], pa.int64()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], names=["doc_id", "node", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets], pa.int64()), pa.array([make(s) for s in sets], pa.binary())], names=["node", "cell"])
+
+    return texts.mapInArrow(run, "node long, cell binary")
+
 
-    found = texts.mapInArrow(run, "doc_id long, node long, shingles binary")
-    return found.join(wanted, ["node", "doc_id"]).dropDuplicates(["node"]).select("node", "shingles")
+def _bin_cell(s: np.ndarray) -> bytes:
+    return len(s).to_bytes(4, "little") + bins(s).tobytes()
 
 
-def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    """Whether the Jaccard similarity of two sorted sets reaches ``percent``; first the suffix filter, then exactly."""
-    need = -(-percent * (len(x) + len(y)) // (100 + percent))
-    if len(x) > 64:
-        pivots = x[np.linspace(0, len(x) - 1, 18).astype(int)[1:-1]]
-        a, b = (np.diff(np.concatenate([[0], np.searchsorted(s, pivots), [len(s)]])) for s in (x, y))
-        if int(np.minimum(a, b).sum()) < need:
-            return False
+def _set_cell(s: np.ndarray) -> bytes:
+    return s.astype("<u8").tobytes()
+
+
+def passes(x: bytes, y: bytes, percent: int) -> bool:
+    """Suffix filter: two sets can't have more in common than the ranges of the hash allow."""
+    n, m = int.from_bytes(x[:4], "little"), int.from_bytes(y[:4], "little")
+    a, b = (np.frombuffer(c[4:], "<u2" if k < 65536 else "<u4") for c, k in ((x, n), (y, m)))
+    return int(np.minimum(a, b).sum()) >= -(-percent * (n + m) // (100 + percent))
+
+
+def similar(x: bytes, y: bytes, percent: int) -> bool:
+    """Whether the Jaccard similarity of two sorted sets reaches ``percent``."""
+    x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
     at = np.searchsorted(y, x)
     common = int(np.count_nonzero(y[np.minimum(at, len(y) - 1)] == x))
     return 100 * common >= percent * (len(x) + len(y) - common)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (u, v) of pairs (u, v) whose sets are similar; pairs of a hot v are dealt over copies of its set."""
+def _kept_pairs(pairs: DataFrame, cells: DataFrame, percent: int, test) -> DataFrame:
+    """Pairs (u, v) whose cells pass a test; pairs of a hot v are dealt over copies of its cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            us, vs, xs, ys = (c.to_pylist() for c in b.columns)
-            ok = [similar(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), percent) for x, y in zip(xs, ys, strict=True)]
-            mask = pa.array(ok, pa.bool_())
+            mask = pa.array([test(x, y, percent) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], names=["u", "v"])
 
     share = 128
     degree = pairs.groupBy("v").agg(F.count("*").alias("d"))
-    copies = degree.join(sets, degree["v"] == sets["node"]).select("v", F.col("shingles").alias("y"), F.explode(F.sequence(F.lit(0), F.floor(F.col("d") / share).cast("int"))).alias("s"))
+    copies = degree.join(cells, degree["v"] == cells["node"]).select("v", F.col("cell").alias("y"), F.explode(F.sequence(F.lit(0), F.floor(F.col("d") / share).cast("int"))).alias("s"))
     dealt = pairs.join(degree, "v").select("u", "v", F.pmod(F.xxhash64("u"), F.floor(F.col("d") / share) + 1).cast("int").alias("s"))
-    dealt = dealt.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("x")), "u")
+    dealt = dealt.join(cells.select(F.col("node").alias("u"), F.col("cell").alias("x")), "u")
     return dealt.join(copies, ["v", "s"]).select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
 
 
+def _verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, percent: int, width: int, repeated: bool, path: str) -> DataFrame:
+    """Links (u, v) of pairs (u, v) whose sets are similar.  Only sets of pairs that pass the suffix filter are moved."""
+    for name, make, test in (("bins", _bin_cell, passes), ("sets", _set_cell, similar)):
+        nodes = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+        cells = _cells(texts, nodes.join(classes, "node").select(F.col("rep").alias("doc_id")), width, make)
+        cells = written(cells.dropDuplicates(["node"]) if repeated else cells, f"{path}/{name}")
+        pairs = written(_kept_pairs(pairs, cells, percent, test).distinct(), f"{path}/pairs-{name}")
+        dropped(pairs.sparkSession, f"{path}/{name}")
+        released(pairs.sparkSession)
+    return pairs
+
+
 def join(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
     """Near-duplicate components: doc_id, n_shingles, node (the set's fingerprint), component_id.
 
@@ -259,33 +306,35 @@ def join(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
     shared = spark.sparkContext.broadcast(sketch)
     found = _prefixes(texts.where("doc_id IS NOT NULL"), sketch, percent, width, buckets).groupBy("bucket").applyInPandas(_shared(shared), "token long, node long, n int, at int")
     postings = written(found, f"{path}/postings")
-
-    # one leader a token and band of sizes; each class keeps the one with which it shares most tokens
-    banded = postings.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(1.25)))).cast("int"))
-    leaders = banded.groupBy("token", "band").agg(F.min(F.struct("node", "n", "at")).alias("l")).select("token", "band", F.col("l.node").alias("v"), F.col("l.n").alias("m"), F.col("l.at").alias("b"))
-    pairs = salted_join(banded, leaders, ["token", "band"], F.col("node")).where("node != v").groupBy(F.col("node").alias("u"), "v").agg(F.min(F.struct(F.col("at").alias("a"), "b", "n", "m")).alias("f"), F.count("*").alias("shared"))
-    pairs = pairs.select("u", "v", "shared", "f.*").where(_possible(percent))
-    best = pairs.groupBy("u").agg(F.max(F.struct("shared", "v")).alias("p")).select("u", F.col("p.v").alias("v"))
-    best = written(best, f"{path}/leaders")
-    nodes = postings.select("node").distinct()
-    sets = written(_sets(texts, nodes.join(classes, "node").select("node", F.col("rep").alias("doc_id")), width), f"{path}/sets")
-    links = written(_verified(best, sets, percent), f"{path}/links0")
-
-    root = components(links, f"{path}/cc0")
-    placed = salted_join(postings, root, ["node"], F.col("token"), 4, "left").withColumn("root", F.coalesce("root", "node"))
-    placed = written(placed, f"{path}/placed")
-    # tokens over more than one component; the largest of them is never compared within itself
-    split = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("token")
-    within = placed.join(split, "token", "left_semi")
-    major = within.groupBy("token", "root").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "root")).alias("big")).select("token", F.col("big.root").alias("major"))
-    within = salted_join(within, major, ["token"], F.col("node"))
+    released(spark)
+
+    total = rows.agg(F.count("doc_id").alias("all"), F.countDistinct("doc_id").alias("ids")).first()
+    repeated = total["all"] > total["ids"]
+    links = spark.createDataFrame([], "u long, v long")
+    placed = postings.withColumn("root", F.col("node"))
+    for k in range(ROUNDS):
+        # a class tries one leader of another component a round, the one with which it shares most of its prefix
+        tried = written(_leaders(placed, k, percent), f"{path}/tried{k}")
+        found = _verified(tried, texts, classes, percent, width, repeated, f"{path}/round{k}")
+        if k and not found.limit(1).count():
+            break
+        links = links.unionByName(found)
+        root = components(links, f"{path}/components{k}")
+        whole = placed.select("token", "node", "n", "at").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        # tokens within one component have done their part
+        split = whole.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("token")
+        placed = written(whole.join(split, "token", "left_semi"), f"{path}/placed{k}")
+
+    # all pairs that are left; the largest component of a token is never compared within itself
+    major = placed.groupBy("token", "root").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "root")).alias("big")).select("token", F.col("big.root").alias("major"))
+    within = placed.join(major, "token")
     left = within.where("root != major").select("token", F.col("node").alias("u"), "n", F.col("at").alias("a"), F.col("root").alias("ru"))
     right = within.select("token", F.col("node").alias("v"), F.col("n").alias("m"), F.col("at").alias("b"), F.col("root").alias("rv"), (F.col("root") == F.col("major")).alias("rest"))
     fits = f"ru != rv AND (rest OR u < v) AND {percent}L * greatest(n, m) <= 100L * least(n, m)"
     more = left.join(right, "token").where(fits).groupBy("u", "v").agg(F.min(F.struct("a", "b", "n", "m")).alias("f")).select("u", "v", "f.*").where(_possible(percent)).select("u", "v")
-    more = written(more, f"{path}/pairs1")
-    links = written(links.unionByName(_verified(more, sets, percent)), f"{path}/links1")
-    root = components(links, f"{path}/cc1")
+    more = written(more, f"{path}/pairs")
+    links = links.unionByName(_verified(more, texts, classes, percent, width, repeated, f"{path}/rest"))
+    root = components(links, f"{path}/components")
 
     named = root.join(classes, "node")
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
