@@ -17,7 +17,7 @@ _EXACT = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64) | np
 _VALUE = _EXACT[_LOWER]
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_CHUNK = 4 << 20
+_CHUNK = 1 << 20
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
