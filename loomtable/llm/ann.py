@@ -1,10 +1,12 @@
 """Approximate nearest neighbours by collision counting over query-aware windows.
 
 The index is cut into shards of bounded size.  A shard keeps, for each random
-projection, its rows' projections in a sorted array.  A query opens a window
-around its own projection in every array; virtual rehashing widens all
-windows by a factor until enough rows lie in ``collide`` of the arrays'
-windows.  Only those rows are verified by their true inner product.
+projection, its rows' projections in a sorted array, and each row's place in
+it.  A query opens a window around its own projection in every array, found
+by two binary searches; a row collides where its place lies inside.  Virtual
+rehashing widens all windows of a query by a factor until enough rows collide
+in ``collide`` of the arrays.  Only those rows are verified by their true
+inner product.
 
 Largest inner products become nearest neighbours by one more component,
 sqrt(largest norm ** 2 - norm ** 2), with queries scaled to the largest norm.
@@ -24,8 +26,10 @@ from loomtable.llm.vectors import narrow, parsed, query_blocks, usable
 
 #: Projections; share of arrays in which a row must collide; share of a shard's rows to verify, and how many besides;
 #: first half-width (in units of the largest norm) and the factor of widening; rows of a shard.
-PROJECTIONS, COLLIDE, VERIFY, VERIFY_MORE, HALF_WIDTH, WIDEN, SHARD_ROWS = 48, 0.7, 0.35, 500, 1.0, 1.1, 8192
-_INDEX = "n int, ids binary, vectors binary, keys binary, rows binary"
+PROJECTIONS, COLLIDE, VERIFY, VERIFY_MORE, HALF_WIDTH, WIDEN, SHARD_ROWS = 48, 0.7, 0.35, 500, 1.2, 1.1, 8192
+#: Queries whose windows are counted at once.
+TOGETHER = 64
+_INDEX = "n int, ids binary, vectors binary, keys binary, ranks binary"
 
 
 def _extent(base: DataFrame) -> tuple[int, float]:
@@ -47,7 +51,7 @@ def directions(dims: int, seed: int = 7) -> np.ndarray:
 
 
 def build_index(base: DataFrame, dims: int, norm: float) -> DataFrame:
-    """A row a shard: ids, vectors (double), and for each projection the sorted keys with their rows."""
+    """A row a shard: ids, vectors (double), and for each projection the sorted keys and each row's rank among them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = directions(dims)
@@ -57,8 +61,8 @@ def build_index(base: DataFrame, dims: int, norm: float) -> DataFrame:
             more = np.sqrt(np.maximum(0.0, 1.0 - ((m / norm) ** 2).sum(axis=1)))
             keys = a[:, :-1] @ (m / norm).T + a[:, -1:] * more[None, :]
             order = np.argsort(keys, axis=1, kind="stable")
-            data = (ids.astype("<i8"), m.astype("<f8"), np.take_along_axis(keys, order, 1).astype("<f4"), order.astype("<u2"))
-            return pa.RecordBatch.from_arrays([pa.array([len(ids)], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in data)], names=["n", "ids", "vectors", "keys", "rows"])
+            data = (ids.astype("<i8"), m.astype("<f8"), np.take_along_axis(keys, order, 1).astype("<f4"), np.argsort(order, axis=1).astype("<u2"))
+            return pa.RecordBatch.from_arrays([pa.array([len(ids)], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in data)], names=["n", "ids", "vectors", "keys", "ranks"])
 
         held, size = [], 0
         for ids, m in parsed(batches, dims, SHARD_ROWS):
@@ -78,27 +82,26 @@ def build_index(base: DataFrame, dims: int, norm: float) -> DataFrame:
     return base.mapInArrow(run, _INDEX)
 
 
-def collisions(keys: np.ndarray, rows: np.ndarray, centre: np.ndarray, collide: int, want: int) -> np.ndarray:
-    """Rows that lie in at least ``collide`` windows, when windows are as wide as it takes to have ``want`` of them."""
+def collisions(keys: np.ndarray, ranks: np.ndarray, centres: np.ndarray, collide: int, want: int) -> list[np.ndarray]:
+    """For each query (column of ``centres``) the rows in at least ``collide`` windows, when windows are as wide as it takes to have ``want`` of them."""
     n = keys.shape[1]
-    seen = np.zeros(n, np.uint8)
-    left = right = None
-    half = HALF_WIDTH
-    while True:
-        new_left = [int(np.searchsorted(k, c - half, "left")) for k, c in zip(keys, centre, strict=True)]
-        new_right = [int(np.searchsorted(k, c + half, "right")) for k, c in zip(keys, centre, strict=True)]
-        if left is None:
-            for r, a, b in zip(rows, new_left, new_right, strict=True):
-                seen[r[a:b]] += 1
-        else:  # only what the wider windows add
-            for r, a, b, c, d in zip(rows, new_left, left, right, new_right, strict=True):
-                seen[r[a:b]] += 1
-                seen[r[c:d]] += 1
-        left, right = new_left, new_right
-        found = np.flatnonzero(seen >= collide)
-        if len(found) >= want or not any(left) and all(b == n for b in right):
-            return found
-        half *= WIDEN
+    out: list = [None] * centres.shape[1]
+    active, half = np.arange(centres.shape[1]), np.float32(HALF_WIDTH)
+    centres = centres.astype(np.float32)
+    while len(active):
+        seen = np.zeros((len(active), n), np.uint8)
+        whole = np.ones(len(active), bool)
+        for key, rank, centre in zip(keys, ranks, centres[:, active], strict=True):
+            left, right = np.searchsorted(key, centre - half, "left"), np.searchsorted(key, centre + half, "right")
+            # a rank before the window's start wraps around and is too large
+            seen += (rank[None, :] - left.astype(np.uint16)[:, None]) < (right - left).astype(np.uint16)[:, None]
+            whole &= (left == 0) & (right == n)
+        hits = seen >= collide
+        done = whole | (np.count_nonzero(hits, axis=1) >= want)
+        for j in np.flatnonzero(done):
+            out[active[j]] = np.flatnonzero(hits[j])
+        active, half = active[~done], half * np.float32(WIDEN)
+    return out
 
 
 def search(index: DataFrame, q_ids: np.ndarray, q: np.ndarray, k: int, dims: int) -> DataFrame:
@@ -110,14 +113,16 @@ def search(index: DataFrame, q_ids: np.ndarray, q: np.ndarray, k: int, dims: int
         centres = directions(dims)[:, :-1] @ (queries / np.linalg.norm(queries, axis=1, keepdims=True)).T
         single = queries.astype(np.float32)
         for b in batches:
-            for n, ids, m, keys, rows in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for n, ids, m, keys, ranks in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 ids, m = np.frombuffer(ids, "<i8"), np.frombuffer(m, "<f8").reshape(n, dims)
-                keys, rows = np.frombuffer(keys, "<f4").reshape(-1, n), np.frombuffer(rows, "<u2").reshape(-1, n)
+                keys, ranks = np.frombuffer(keys, "<f4").reshape(-1, n), np.frombuffer(ranks, "<u2").reshape(-1, n)
                 rough, length = m.astype(np.float32), np.linalg.norm(m, axis=1).max()
-                want = min(n, k + VERIFY_MORE + int(VERIFY * n))
+                want, collide = min(n, k + VERIFY_MORE + int(VERIFY * n)), int(np.ceil(COLLIDE * len(keys)))
                 out: list[list[np.ndarray]] = [[], [], []]
                 for j, (name, query) in enumerate(zip(names, queries, strict=True)):
-                    found = collisions(keys, rows, centres[:, j], int(np.ceil(COLLIDE * len(keys))), want)
+                    if j % TOGETHER == 0:
+                        near = collisions(keys, ranks, centres[:, j : j + TOGETHER], collide, want)
+                    found = near[j % TOGETHER]
                     found = found[ids[found] != name]
                     if len(found) > k:
                         # single precision sets aside what cannot be among the k best; double decides

@@ -77,15 +77,16 @@ def test_collision_search(spark):
 
 def test_collisions_count_windows():
     r = np.random.default_rng(1)
-    keys = r.standard_normal((10, 50))
+    keys = r.standard_normal((10, 50)).astype(np.float32)
     order = np.argsort(keys, axis=1)
     ranked = np.take_along_axis(keys, order, 1)
-    found = ann.collisions(ranked, order, keys[:, 3], 7, 10)
-    half = ann.HALF_WIDTH
+    ranks = np.argsort(order, axis=1).astype(np.uint16)
+    found = ann.collisions(ranked, ranks, keys[:, [3, 8]], 7, 10)[0]
+    half = np.float32(ann.HALF_WIDTH)
     while (now := np.flatnonzero((np.abs(keys - keys[:, 3:4]) <= half).sum(axis=0) >= 7)).size < 10:
-        half *= ann.WIDEN
+        half *= np.float32(ann.WIDEN)
     assert found.tolist() == now.tolist()
-    assert len(ann.collisions(ranked, order, keys[:, 3], 7, 50)) == 50
+    assert [len(x) for x in ann.collisions(ranked, ranks, keys[:, [3, 4, 5]], 7, 50)] == [50] * 3
 
 
 def test_escape_is_reversible():
