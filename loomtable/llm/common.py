@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -43,9 +44,14 @@ def written(df: DataFrame, path: str) -> DataFrame:
 
 
 def released(spark: SparkSession) -> None:
-    """Ask for a garbage collection, after which Spark removes shuffle files of finished steps."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Ask for a garbage collection, after which Spark removes shuffle files of finished steps.
+
+    A second one is needed for what the first has only made unreachable.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def dropped(spark: SparkSession, path: str) -> None:
