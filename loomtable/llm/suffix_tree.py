@@ -29,12 +29,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomtable.llm.common import bounded_batches, file_system, id_crc, partitions, pieces, work_dir, written
+from loomtable.llm.common import bounded_batches, file_system, id_crc, partitions, pieces, released, work_dir, written
 from loomtable.llm.packed import pack, unpack
 from loomtable.llm.words import mix, word_hashes
 
 #: Folders over which the answers of a round are dealt; bytes of text of a block.
-GROUPS, BLOCK_BYTES = 1024, 12 << 20
+#: A block's arrays take about 50 times its bytes in a task; where executors have more memory, larger blocks send fewer keys.
+GROUPS, BLOCK_BYTES = 1024, 2 << 20
 _END = 0x5851F42D4C957F2D
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -96,10 +97,10 @@ class Block:
         self.ids, self.valid = unpack(row["ids"], "<i8"), unpack(row["valid"], np.uint8).astype(bool)
         self.sizes = unpack(row["counts"], "<u4").astype(np.int64)
         self.vocabulary = unpack(row["vocabulary"], "<u8")
-        self.tokens = unpack(row["tokens"], "<u4").astype(np.int64)
+        self.tokens = unpack(row["tokens"], "<u4").view("<i4")
         self.train = np.repeat(unpack(row["train"], np.uint8).astype(bool), self.sizes)
         start = np.cumsum(self.sizes) - self.sizes
-        self.place = np.arange(len(self.tokens)) - np.repeat(start, self.sizes)
+        self.place = np.arange(len(self.tokens), dtype=np.int32) - np.repeat(start.astype(np.int32), self.sizes)
         self.grams: dict[int, np.ndarray] = {1: self.vocabulary[self.tokens]}
         self.count: dict[int, np.ndarray] = {}
         self.owned: dict[int, np.ndarray] = {}
@@ -115,15 +116,15 @@ class Block:
         """Where n-grams of d words are asked for, their distinct hashes, and the number of each place's hash."""
         if d not in self.keys:
             if d == 1:
-                self.keys[1] = (np.arange(len(self.tokens)), self.vocabulary, self.tokens)
+                self.keys[1] = (np.arange(len(self.tokens), dtype=np.int32), self.vocabulary, self.tokens)
             else:
                 less = self.count[d - 1]
-                where = np.flatnonzero((self.place >= d - 1) & (self.before(less) >= self.s.least) & (less >= 2))
+                where = np.flatnonzero((self.place >= d - 1) & (self.before(less) >= self.s.least) & (less >= 2)).astype(np.int32)
                 gram = mix(self.grams[d - 1][where - 1] * _STEP + self.grams[1][where] + np.uint64(d))
                 self.grams[d] = np.zeros(len(self.tokens), np.uint64)
                 self.grams[d][where] = gram
                 unique, number = np.unique(gram, return_inverse=True)
-                self.keys[d] = (where, unique, number)
+                self.keys[d] = (where, unique, number.astype(np.int32))
         return self.keys[d]
 
     def local(self, d: int) -> np.ndarray:
@@ -132,19 +133,21 @@ class Block:
 
     def told(self, d: int, answer: np.ndarray) -> None:
         where, _, number = self.asked(d)
-        self.count[d] = np.zeros(len(self.tokens), np.int64)
+        self.count[d] = np.zeros(len(self.tokens), np.int32)
         self.count[d][where] = (answer >> 1)[number]
         self.owned[d] = np.zeros(len(self.tokens), bool)
         # the place that stands for an n-gram: its first in the block that owns it
-        first = np.full(len(answer), -1)
+        first = np.full(len(answer), -1, np.int32)
         first[number[::-1]] = where[::-1]
         self.owned[d][first[(answer & 1).astype(bool)]] = True
+        if d > 1:  # what follows needs the places' counts alone
+            self.keys[d] = (where[:0], self.keys[d][1], number[:0])
 
     def contexts(self, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Tokens behind a candidate context of d words, the contexts' distinct hashes, and the number of each."""
         where = np.flatnonzero((self.place >= d) & (self.before(self.count[d]) >= self.s.least))
         unique, number = np.unique(self.grams[d][where - 1], return_inverse=True)
-        return where, unique, number
+        return where, unique, number.astype(np.int32)
 
     def gains(self, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of candidate contexts: hashes, counts of next words seen more than once, and their gain; each n-gram counts in the block that owns it."""
@@ -221,7 +224,9 @@ def _sum_bucket(group):
         one = back(np.where(totals >= least, np.minimum(totals, 2**31 - 1) << 1 | first, 0)).astype("<u4")
         two = None
     else:
-        one, two = (back(np.add.reduceat(np.concatenate([unpack(x, "<f8") for x in group[c]])[order], start)[which]) for c in ("one", "two"))
+        sums = np.add.reduceat(np.concatenate([unpack(x, "<u4") for x in group["one"]]).astype(np.int64)[order], start)[which]
+        gains = np.add.reduceat(np.concatenate([unpack(x, "<f4") for x in group["two"]]).astype(float)[order], start)[which]
+        one, two = back(np.minimum(sums, 2**32 - 1)).astype("<u4"), back(gains).astype("<f4")
     rows = list(zip(size[:-1], size[1:], strict=True))
     return pd.DataFrame(
         {
@@ -244,7 +249,8 @@ def _answers(path: str, kind: int, block: int, column: str, dtype: str) -> np.nd
 
 
 def block_group(block: int) -> int:
-    return (block * 0x9E3779B1 >> 7) % GROUPS
+    """The folder of a block's answers; ``_round`` has the same in SQL."""
+    return ((block >> 24) * 31 + (block & (1 << 24) - 1)) % GROUPS
 
 
 class _Reader:
@@ -263,11 +269,11 @@ class _Reader:
                 for d in range(1, self.settings.depth + 1):
                     kind = 2 * d - 1
                     if kind in self.paths:
-                        block.judged(d, *(_answers(self.paths[kind], kind, name, c, "<f8") for c in ("one", "two")))
+                        block.judged(d, *(_answers(self.paths[kind], kind, name, c, t).astype(float) for c, t in (("one", "<u4"), ("two", "<f4"))))
                 yield name, block
 
 
-def _round(blocks: DataFrame, send: Callable[[int, Block], Iterator[dict]], reader: _Reader, path: str, buckets: int) -> DataFrame:
+def _round(blocks: DataFrame, send: Callable[[int, Block], Iterator[dict]], reader: _Reader, path: str, buckets: int) -> None:
     """Chunks that blocks send, summed a bucket, and the answers written by groups of blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,10 +283,9 @@ def _round(blocks: DataFrame, send: Callable[[int, Block], Iterator[dict]], read
 
     chunks = blocks.mapInArrow(run, "kind int, bucket int, block long, keys binary, one binary, two binary")
     answers = chunks.groupBy("kind", "bucket").applyInPandas(_sum_bucket, _ANSWERS)
-    group = F.expr(f"cast(shiftright(block * {0x9E3779B1}L, 7) % {GROUPS} AS int)")
+    group = F.expr(f"cast((shiftright(block, 24) * 31 + (block & {(1 << 24) - 1})) % {GROUPS} AS int)")
     spread = answers.withColumn("group", group)
     spread.repartition(partitions(blocks.sparkSession), "group").sortWithinPartitions("kind", "group", "block").write.partitionBy("kind", "group").parquet(path)
-    return blocks.sparkSession.read.parquet(path)
 
 
 def score(docs: DataFrame, settings: Settings | None = None, every: int = 10) -> DataFrame:
@@ -307,8 +312,9 @@ def score(docs: DataFrame, settings: Settings | None = None, every: int = 10) ->
     def words(name: int, block: Block) -> Iterator[dict]:
         yield from _chunks(name, 0, block.vocabulary, [block.local(1).astype("<u4")], buckets)
 
-    found = _round(blocks, words, _Reader(s, (0, 0), {}), f"{path}/words", buckets)
-    r = found.agg(F.sum("known"), F.sum("total")).first()
+    _round(blocks, words, _Reader(s, (0, 0), {}), f"{path}/words", buckets)
+    released(spark)
+    r = spark.read.schema(f"{_ANSWERS}, group int").parquet(f"{path}/words").agg(F.sum("known"), F.sum("total")).first()
     corpus = (int(r[1] or 0), int(r[0] or 0))
     paths[0] = f"{path}/words"
 
@@ -320,9 +326,10 @@ def score(docs: DataFrame, settings: Settings | None = None, every: int = 10) ->
                 yield from _chunks(name, 2 * level, block.asked(level + 1)[1], [block.local(level + 1).astype("<u4")], buckets)
             if level > 1:
                 keys, sums, gains = block.gains(level - 1)
-                yield from _chunks(name, 2 * level - 3, keys, [sums.astype("<f8"), gains.astype("<f8")], buckets)
+                yield from _chunks(name, 2 * level - 3, keys, [sums.astype("<u4"), gains.astype("<f4")], buckets)
 
         _round(blocks, send, _Reader(s, corpus, dict(paths)), f"{path}/level{level}", buckets)
+        released(spark)  # the round's shuffles have no use any more
         if level <= s.depth:
             paths[2 * level] = f"{path}/level{level}"
         if level > 1:
