@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -75,6 +77,36 @@ def select(spark: SparkSession, sql: str, schema: ColumnarSchema | None = None,
     return df.select(out)
 
 
+def _micros(frame: DataFrame, schema: ColumnarSchema) -> DataFrame:
+    """Times as microseconds: Python's datetimes would pass through the local zone."""
+    return frame.select([F.unix_micros(F.col(f"`{n}`")).alias(n) if f.type == "TimestampTzMicros" else F.col(f"`{n}`") for n, f in zip(schema.names(), schema.fields, strict=True)])
+
+
+def _of_rows(rows: list[tuple], kind: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([bytes(x) if isinstance(x, bytearray) else x for x in c], t) for c, t in zip(zip(*rows, strict=True), kind.types, strict=True)], schema=kind)
+
+
+def by_rows(frame: DataFrame, schema: ColumnarSchema) -> DataFrame:
+    """A preflighted frame through the row transfer: rows pickled one by one to where the reader's own step makes batches of them, and rows again."""
+    kind = schema.arrow()
+    plain = T.StructType([T.StructField(n, T.LongType() if f.type == "TimestampTzMicros" else COLUMNAR[f.type][0]) for n, f in zip(schema.names(), schema.fields, strict=True)])
+
+    def run(rows: Iterator[T.Row]) -> Iterator[tuple]:
+        while held := [tuple(r) for r in islice(rows, 4096)]:
+            columns = [c.cast(pa.int64()) if pa.types.is_timestamp(c.type) else c for c in _of_rows(held, kind).columns]
+            yield from zip(*(c.to_pylist() for c in columns), strict=True)
+
+    out = frame.sparkSession.createDataFrame(_micros(frame, schema).rdd.mapPartitions(run), plain, verifySchema=False)
+    return out.select([F.timestamp_micros(F.col(f"`{n}`")).alias(n) if f.type == "TimestampTzMicros" else F.col(f"`{n}`") for n, f in zip(schema.names(), schema.fields, strict=True)])
+
+
+def compare(source: DataFrame, **sides: DataFrame) -> DataFrame:
+    """Each distinct row of a frame or of its transfers, and how often each has it: n_source and n_ with the side's name, 0 where it is missing."""
+    named = {"source": source, **sides}
+    tagged = [d.withColumn("_side", F.lit(k)) for k, d in named.items()]
+    return reduce(DataFrame.unionAll, tagged).groupBy(*[f"`{n}`" for n in source.columns]).agg(*[F.count_if(F.col("_side") == k).alias(f"n_{k}") for k in named])
+
+
 class BatchReader:
     """Batches of exactly the capacity, but for the last, in the result's order.
 
@@ -105,19 +137,13 @@ class BatchReader:
 
     def _by_row(self) -> Iterator[pa.RecordBatch]:
         kind, held = self.schema.arrow(), []
-        # times as microseconds: Python's datetimes would pass through the local zone
-        micros = [F.unix_micros(F.col(f"`{n}`")).alias(n) if f.type == "TimestampTzMicros" else F.col(f"`{n}`") for n, f in zip(self.schema.names(), self.schema.fields, strict=True)]
-        for r in self.frame.select(micros).toLocalIterator():
+        for r in _micros(self.frame, self.schema).toLocalIterator():
             held.append(tuple(r))
             if len(held) == 4096:
-                yield self._of_rows(held, kind)
+                yield _of_rows(held, kind)
                 held = []
         if held:
-            yield self._of_rows(held, kind)
-
-    @staticmethod
-    def _of_rows(rows: list[tuple], kind: pa.Schema) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([bytes(x) if isinstance(x, bytearray) else x for x in c], t) for c, t in zip(zip(*rows, strict=True), kind.types, strict=True)], schema=kind)
+            yield _of_rows(held, kind)
 
     def next_batch_into(self, out: ColumnarBatch) -> int:
         """Fill a batch up to its capacity; 0 rows when the result is exhausted, then and ever after."""
