@@ -60,15 +60,15 @@ class SegmentEncoder:
     hashes, and each distinct one is encoded by the library once a call, or
     taken from the cache.  The cache holds ``limit`` segments that were seen
     in two calls at most, and is renewed when too many look-ups miss it.
-    Strings of special tokens inside a text are ordinary text.  Texts with a
-    zero byte are encoded whole.
+    Strings of added tokens inside a text give these tokens, as the library
+    has it.  Texts with such a string or a zero byte are encoded whole.
     """
 
     def __init__(self, path: str, limit: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.limit, self.cache, self.once = limit, {}, {}
         self.asked = self.missed = 0
         self.begins = np.array([x.startswith("Ġ") for x, _ in sorted(self.tokenizer.get_vocab().items(), key=lambda v: v[1])])
@@ -126,10 +126,11 @@ class SegmentEncoder:
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of UTF-8 texts, as little-endian unsigned 32-bit integers."""
         out: list[bytes] = [b""] * len(texts)
-        whole = [k for k, x in enumerate(texts) if b"\0" in x]
+        apart = [b"\0", *self.added]
+        whole = [k for k, x in enumerate(texts) if any(a in x for a in apart)]
         for k, ids in zip(whole, self._ids([texts[k].decode("utf-8", "replace") for k in whole]), strict=True):
             out[k] = ids.tobytes()
-        rest = [k for k, x in enumerate(texts) if x and b"\0" not in x]
+        rest = sorted({k for k, x in enumerate(texts) if x}.difference(whole))
         if not rest:
             return out
         joined = b"\0".join([b"", *(texts[k] for k in rest), b""])

@@ -47,6 +47,25 @@ def test_encoder_equals_library(tokenizer):
     assert all(g == ids_of(tokenizer, t).tobytes() for t, g in zip(texts, got, strict=True))
 
 
+def test_added_tokens_equal_a_fresh_tokenizer(spark):
+    """Strings of added tokens give the ids of the library as it comes, in texts with and without them in one call, and in both operators."""
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(default_vocabulary())
+    ids = lambda t: np.array(fresh.encode(t, add_special_tokens=False).ids, "<u4")
+    texts = ["x <|endoftext|> y", "plain words, here", "<|endoftext|>", "a<|endoftext|><|endoftext|>b \0", "<|endoftext", "|> é", "", "the cat <|endoftext|>\nthe cat. " * 300]
+    assert ids(texts[0]).tolist() == [87, 220, 50256, 331]
+    enc = SegmentEncoder(default_vocabulary())
+    for _ in range(3):
+        assert enc.encode([t.encode() for t in texts]) == [ids(t).tobytes() for t in texts]
+    whole = [np.append(ids(t), np.array([0], "<u4")) for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    starts = np.cumsum([0, *map(len, whole)]).tolist()
+    assert sorted(map(tuple, wavelet.token_output(df).collect())) == [(k, starts[k], len(x), zlib.crc32(x.tobytes())) for k, x in enumerate(whole)]
+    pieces = {(k, at, zlib.crc32(x[at : at + 1024].tobytes())) for k, x in enumerate(whole) for at in range(0, len(x), 1024)}
+    assert {(r["doc_id"], r["start"], r["ids_crc32"]) for r in packing.pack(df).collect()} == pieces
+
+
 def test_wavelet_shard():
     r = np.random.default_rng(0)
     for n in (0, 1, 1000):
