@@ -29,10 +29,11 @@ _PIECES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("st
 def shortest_pack_first(histogram: dict[int, int], size: int) -> list[tuple[int, list[int]]]:
     """(how often, lengths) of each packing pattern; lengths stand in the order of placement.
 
-    A step uses up a length's count or a pattern's, so there are at most two
-    patterns a length.
+    Each piece goes to the pack with the most room left, and a new pack is
+    begun only when no open one has room for it.  A step uses up a length's
+    count or a pattern's, so there are at most two patterns a length.
     """
-    # a heap of (-room, serial): the shortest pack has the most room
+    # a heap of (-room, serial): the shortest pack has the most room; full packs are in no heap
     packs: dict[int, list] = {}
     heap: list[tuple[int, int]] = []
     serial = 0
@@ -40,11 +41,12 @@ def shortest_pack_first(histogram: dict[int, int], size: int) -> list[tuple[int,
     def put(count: int, lengths: list[int], room: int) -> None:
         nonlocal serial
         packs[serial] = [count, lengths]
-        heappush(heap, (-room, serial))
+        if room:
+            heappush(heap, (-room, serial))
         serial += 1
 
     for length in sorted(histogram, reverse=True):
-        left, fresh = histogram[length], []
+        left = histogram[length]
         while left:
             if heap and -heap[0][0] >= length:
                 room, key = heappop(heap)
@@ -52,23 +54,17 @@ def shortest_pack_first(histogram: dict[int, int], size: int) -> list[tuple[int,
                 used = min(left, count)
                 if count > used:
                     put(count - used, lengths, -room)
-                fresh.append((used, [*lengths, length], -room - length))
+                put(used, [*lengths, length], -room - length)
                 left -= used
-                if -room - length >= length and not heap and left:
-                    for x in fresh:
-                        put(*x)
-                    fresh = []
             else:
                 # as many of this length in a pack as fit
-                many = max(1, size // length) if not heap else 1
+                many = size // length
                 whole, rest = divmod(left, many)
                 if whole:
                     put(whole, [length] * many, size - length * many)
                 if rest:
                     put(1, [length] * rest, size - length * rest)
                 left = 0
-        for x in fresh:
-            put(*x)
     return [(count, lengths) for count, lengths in packs.values()]
 
 

@@ -138,6 +138,31 @@ def test_shortest_pack_first():
             assert ranks[0][0] == 0 and ranks[-1][1] == h[length] and all(x[1] == y[0] for x, y in zip(ranks, ranks[1:], strict=False))
 
 
+@pytest.mark.parametrize("full", [0, 1, 50])
+def test_packing_of_one_hot_length(full):
+    """Full packs don't keep pieces of a common length apart."""
+    import random
+
+    def padding(h):
+        patterns = shortest_pack_first({k: n for k, n in h.items() if n}, 1024)
+        got, total = Counter(), 0
+        for count, lengths in patterns:
+            total += count
+            for x in lengths:
+                got[x] += count
+        assert got == Counter({k: n for k, n in h.items() if n}) and len(patterns) <= 2 * len(h)
+        return total, 1 - sum(k * n for k, n in h.items()) / (1024 * total)
+
+    assert padding({1024: full, 300: 3000})[0] == full + 1000
+    assert padding({1024: full, 900: 10, 300: 3000})[0] == full + 10 + 1000
+    r = random.Random(full)
+    h = Counter(r.randint(1, 1024) for _ in range(2000)) + Counter({1024: full, 300: 1000})
+    assert padding(h)[1] < 0.05
+    # a hot length with few shorter pieces: its own packs can't be fuller than three to a pack
+    h = Counter({1024: full, 300: 3000}) + Counter(r.randint(1, 1024) for _ in range(100))
+    assert padding(h)[0] <= full + 1000 + 60
+
+
 def words(text):
     return (text or "").encode().lower().split()
 
