@@ -1,7 +1,7 @@
 """Chat formatting: schema fingerprints select declarative mappings to canonical turns.
 
-A record's layout is the set of its nested field paths; the hash of the
-sorted paths selects a mapping from a registry.  Mappings are data: where the
+A record's layout is the set of its nested field paths, without those that no
+mapping names; the hash of the sorted paths selects a mapping from a registry.  Mappings are data: where the
 turns lie and which field plays which role.  Canonical turns are then written
 with a template whose control strings are escaped, reversibly, inside texts.
 """
@@ -107,13 +107,19 @@ def registry(mappings: list[Mapping]) -> dict[str, Mapping]:
     return {fingerprint(set(m.paths)): m for m in mappings}
 
 
+def select_mapping(paths: set[str], known: dict[str, Mapping]) -> Mapping | None:
+    """The mapping of a layout by its hash; paths that no mapping names are set aside."""
+    named = {p for m in known.values() for p in m.paths}
+    return known.get(fingerprint(paths & named))
+
+
 def canonical(record: str | None, known: dict[str, Mapping]) -> tuple[str, list[tuple[str, str]]]:
     """(mapping's name, turns) of a JSON record; ("unknown", []) if no mapping has its fingerprint or it is no JSON object."""
     try:
         value = json.loads(record) if record else None
     except ValueError:
         value = None
-    m = known.get(fingerprint(field_paths(value))) if isinstance(value, dict) else None
+    m = select_mapping(field_paths(value), known) if isinstance(value, dict) else None
     return (m.name, m.apply(value)) if m else ("unknown", [])
 
 
@@ -140,18 +146,18 @@ def canonical_turns(records: DataFrame, id_col: str, json_col: str, mappings: li
 def turn_rows(rows: DataFrame, mappings: list[Mapping] | None = None) -> DataFrame:
     """Canonical turn rows of a table that has a row a turn, by the fingerprint of its own schema.
 
-    Columns that no row-wise mapping names are set aside before: a mapping is
-    chosen if its paths are all there.
+    Only row-wise mappings are in the registry here: columns that none of
+    them names are set aside.
     """
     paths = schema_paths(rows.schema)
-    for m in MAPPINGS if mappings is None else mappings:
-        if m.turns == "" and fingerprint(set(m.paths) & paths) == fingerprint(set(m.paths)):
-            # without the scan of records: the mapping as a projection
-            role = F.coalesce(F.col(m.role).cast("string"), F.lit(""))
-            for a, b in m.roles.items():
-                role = F.when(role == a, b).otherwise(role)
-            return rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), role.alias("role"), F.coalesce(F.col(m.text).cast("string"), F.lit("")).alias("text"))
-    raise ValueError(f"no mapping for the field paths {sorted(paths)}")
+    m = select_mapping(paths, registry([m for m in (MAPPINGS if mappings is None else mappings) if m.turns == ""]))
+    if m is None:
+        raise ValueError(f"no mapping for the field paths {sorted(paths)}")
+    # without the scan of records: the mapping as a projection
+    role = F.coalesce(F.col(m.role).cast("string"), F.lit(""))
+    for a, b in m.roles.items():
+        role = F.when(role == a, b).otherwise(role)
+    return rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), role.alias("role"), F.coalesce(F.col(m.text).cast("string"), F.lit("")).alias("text"))
 
 
 def format_turn(role: str, text: str) -> tuple[str, tuple[int, int] | None]:

@@ -132,3 +132,24 @@ def test_layouts(spark):
     assert got[4] == [("share", "user", "q"), ("share", "assistant", "a")]
     assert all(got[k] == [("unknown", None, None)] for k in (5, 90, 91))
     assert len(chat.registry(chat.MAPPINGS)) == len(chat.MAPPINGS)
+
+
+def test_extra_fields_keep_their_turns(spark):
+    """Fields that no mapping names don't hide a layout, at the top or in a message."""
+    records = [
+        {"id": 1, "source": {"name": "x", "tags": []}, "prompt": "p", "completion": "c"},
+        {"id": 2, "messages": [{"role": "user", "content": "hi", "name": "ann"}, {"role": "assistant", "content": "yo"}]},
+    ]
+    df = spark.createDataFrame([(k, json.dumps(r)) for k, r in enumerate(records)], "id long, record string")
+    got = sorted((r["conv_id"], r["turn"], r["role"], r["text"], r["layout"]) for r in chat.canonical_turns(df, "id", "record").collect())
+    assert got == [(0, 0, "user", "p", "prompt"), (0, 1, "assistant", "c", "prompt"), (1, 0, "user", "hi", "messages"), (1, 1, "assistant", "yo", "messages")]
+
+
+def test_turn_rows_look_up_the_registry(spark, monkeypatch):
+    """The mapping of op5 is the one that the registry has under the hash of the table's fields."""
+    asked = []
+    known = chat.registry
+    monkeypatch.setattr(chat, "registry", lambda mappings: asked.append(known(mappings)) or asked[-1])
+    df = spark.createDataFrame([(1, 0, "user", "hi", "x")], "conv_id long, turn long, role string, text string, prompt string")
+    assert [tuple(r) for r in chat.turn_rows(df).collect()] == [(1, 0, "user", "hi")]
+    assert list(asked[0]) == [chat.fingerprint({"conv_id", "turn", "role", "text"})]
