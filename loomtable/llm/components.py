@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtable.llm.common import written
-
-_MOST_ROUNDS = 60
+from loomtable.llm.common import salted_join, written
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -15,7 +15,7 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = both.groupBy("u").agg(F.min("v").alias("m"))
     least = least.select("u", F.least("u", "m").alias("m"))
-    joined = both.join(least, "u")
+    joined = salted_join(both, least, ["u"], F.col("v"), 4)  # a star may hold a third of all nodes
     if large:  # neighbours above the node
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:  # neighbours below it, and the node itself
@@ -28,7 +28,7 @@ def components(links: DataFrame, path: str) -> DataFrame:
     edges = written(links.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{path}/edges")
     state = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     before = state(edges)
-    for k in range(_MOST_ROUNDS):
+    for k in count():
         if not before[0]:
             break
         edges = written(_stars(_stars(edges, True), False), f"{path}/round{k}")
@@ -36,6 +36,4 @@ def components(links: DataFrame, path: str) -> DataFrame:
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError("components did not settle")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
