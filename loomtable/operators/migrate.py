@@ -186,10 +186,10 @@ def rewrite(table: Table, spec: TableSpec, config: D.MigrationConfig = D.Migrati
                 if config.online_sleep_ms:
                     time.sleep(config.online_sleep_ms / 1000)
                 continue
+            locked = time.monotonic()  # from here on a change by another writer makes the swap start again
             for c in columns:
                 if c.unique and unique_violations(shadow, [c.physical]).limit(1).count():
                     raise MigrationNeeded(f"values of {c.name} aren't unique")
-            locked = time.monotonic()
             backup = derived_object_name(table.name, "backup", int(time.time()))
             while backup in m.backups:
                 backup += "_1"

@@ -94,7 +94,7 @@ def parallel_ranges(df: DataFrame, key: str, workers: int) -> DataFrame:
         return df.withColumn("range_id", F.lit(0).cast("long"))
     ranges = split_range(low, high, workers)
     step = ranges[0][1] - ranges[0][0] + 1
-    return df.withColumn("range_id", F.floor((F.col(key) - F.lit(low)) / F.lit(step)).cast("long"))
+    return df.withColumn("range_id", F.expr(f"(CAST({spark_identifier(key)} AS DECIMAL(20, 0)) - CAST({low} AS DECIMAL(20, 0))) div CAST({step} AS DECIMAL(20, 0))"))
 
 
 def assign_migration_key(df: DataFrame, order: list[str] | None = None, first: int = 1, column: str = MIGRATION_KEY) -> DataFrame:

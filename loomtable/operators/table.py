@@ -3,7 +3,8 @@
 Columns are stored under the names f<id>, so renaming, adding a nullable
 column and dropping a constraint only change the manifest.  A manifest is a
 file of its own version, published by a rename that fails if that version
-exists: writers whose base is out of date lose and start again.  State =
+exists: writers whose base is out of date lose and start again, each with a
+segment folder of its own, which the manifest names.  State =
 snapshot without the changed keys, plus the latest rows of changed keys.
 
 Limits: writers must use this interface for their changes to be seen, and
@@ -13,7 +14,10 @@ the file system's rename must not replace an existing file.
 from __future__ import annotations
 
 import json
+import random
+import time
 import uuid
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -68,6 +72,7 @@ class Manifest:
     seq: int = 0  # last change segment
     base_seq: int = 0  # changes up to here are in the snapshot
     backups: dict = field(default_factory=dict)  # name -> columns, snapshot, base_seq, seq
+    segments: tuple[str, ...] = ()  # folders of the change segments, from number 1
 
     def dump(self) -> str:
         return json.dumps(asdict(self), indent=1)
@@ -77,6 +82,7 @@ class Manifest:
         d = json.loads(text)
         d["columns"] = tuple(StoredColumn(**c) for c in d["columns"])
         d["indexes"] = tuple(StoredIndex(**{**i, "columns": tuple(i["columns"])}) for i in d["indexes"])
+        d["segments"] = tuple(d.get("segments", ()))
         return Manifest(**d)
 
     def key(self) -> StoredColumn | None:
@@ -89,6 +95,10 @@ class Manifest:
         return next((c for c in self.columns if c.name == name), None)
 
 
+#: Times that a write is tried against writers that publish first.
+MOST_TRIES = 20
+
+
 class Conflict(EngineError):
     """Another writer has published first."""
 
@@ -199,12 +209,9 @@ class Table:
 
     def changes(self, m: Manifest, low: int, high: int) -> DataFrame:
         """Change rows of the segments in (low, high]: seq, op (u or d) and the columns."""
-        schema = T.StructType([T.StructField("op", T.StringType())] + [T.StructField(c.physical, c.spark()) for c in m.columns])
-        out = self.spark.createDataFrame([], T.StructType([T.StructField("seq", T.LongType()), *schema.fields]))
-        for k in range(low + 1, high + 1):
-            part = self.spark.read.schema(schema).parquet(f"{self.folder}/changes/seq={k:012d}").withColumn("seq", F.lit(k).cast("long"))
-            out = out.unionByName(part)
-        return out
+        schema = T.StructType([T.StructField("seq", T.LongType()), T.StructField("op", T.StringType())] + [T.StructField(c.physical, c.spark()) for c in m.columns])
+        paths = [f"{self.folder}/changes/{x}" for x in m.segments[low:high]]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def _state(self, m: Manifest, upto: int | None = None) -> DataFrame:
         """Rows under physical names as of a sequence number."""
@@ -244,10 +251,25 @@ class Table:
         return df.select(out)
 
     def _append_segment(self, m: Manifest, rows: DataFrame, op: str) -> None:
-        """Write a segment, then publish it; a lost race leaves a folder that nothing names and that the next writer replaces."""
+        """Write a segment in a folder of its own, then publish it; a writer that loses the race removes its own folder only."""
         seq = m.seq + 1
-        rows.withColumn("op", F.lit(op)).write.mode("overwrite").parquet(f"{self.folder}/changes/seq={seq:012d}")
-        self.store.publish(replace(m, version=m.version + 1, seq=seq))
+        name = f"{seq:012d}-{uuid.uuid4().hex}"
+        rows.withColumn("seq", F.lit(seq).cast("long")).withColumn("op", F.lit(op)).write.parquet(f"{self.folder}/changes/{name}")
+        try:
+            self.store.publish(replace(m, version=m.version + 1, seq=seq, segments=(*m.segments, name)))
+        except BaseException:
+            self.store.remove(f"{self.folder}/changes/{name}")
+            raise
+
+    def _committed(self, write: Callable[[Manifest], None]) -> None:
+        """Run a write against the newest manifest, and again, checks included, each time that another writer has published first."""
+        for left in reversed(range(MOST_TRIES)):
+            try:
+                return write(self.manifest)
+            except Conflict:
+                if not left:
+                    raise
+                time.sleep(random.uniform(0, 0.2))
 
     def _check(self, m: Manifest, rows: DataFrame, existing: DataFrame | None) -> DataFrame:
         required = [c.physical for c in m.columns if not c.nullable]
@@ -261,29 +283,38 @@ class Table:
 
     def insert(self, df: DataFrame) -> None:
         """Add rows; keys and unique columns must be new."""
-        m = self.manifest
-        rows = self._with_migration_key(m, self._rows(m, df))
-        self._append_segment(m, self._check(m, rows, self._state(m)), "u")
+
+        def write(m: Manifest) -> None:
+            rows = self._with_migration_key(m, self._rows(m, df))
+            self._append_segment(m, self._check(m, rows, self._state(m)), "u")
+
+        self._committed(write)
 
     def upsert(self, df: DataFrame) -> None:
         """Add rows or replace those of equal key."""
-        m = self.manifest
-        key = m.key()
-        if key is None:
-            raise EngineError("an upsert needs a single key column")
-        rows = self._rows(m, df)
-        rest = self._state(m).join(rows.select(key.physical), key.physical, "left_anti")
-        self._append_segment(m, self._check(m, rows, rest), "u")
+
+        def write(m: Manifest) -> None:
+            key = m.key()
+            if key is None:
+                raise EngineError("an upsert needs a single key column")
+            rows = self._rows(m, df)
+            rest = self._state(m).join(rows.select(key.physical), key.physical, "left_anti")
+            self._append_segment(m, self._check(m, rows, rest), "u")
+
+        self._committed(write)
 
     def delete(self, keys: DataFrame) -> None:
         """Delete rows by key; keys that aren't there do nothing."""
-        m = self.manifest
-        key = m.key()
-        if key is None:
-            raise EngineError("a delete needs a single key column")
-        only = keys.select(F.col(spark_identifier(key.name)).cast(key.spark()).alias(key.physical)).distinct()
-        rows = only.select([F.col(key.physical) if c.id == key.id else F.lit(None).cast(c.spark()).alias(c.physical) for c in m.columns])
-        self._append_segment(m, rows, "d")
+
+        def write(m: Manifest) -> None:
+            key = m.key()
+            if key is None:
+                raise EngineError("a delete needs a single key column")
+            only = keys.select(F.col(spark_identifier(key.name)).cast(key.spark()).alias(key.physical)).distinct()
+            rows = only.select([F.col(key.physical) if c.id == key.id else F.lit(None).cast(c.spark()).alias(c.physical) for c in m.columns])
+            self._append_segment(m, rows, "d")
+
+        self._committed(write)
 
     def change_key(self, old, row: DataFrame) -> None:
         """Replace the row of key ``old`` by a row of another key: both keys are logged."""

@@ -1,4 +1,5 @@
 import random
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import types as T
@@ -185,3 +186,27 @@ def test_flatten_refusals():
             fl.flatten(T.StructType(fields), "proc_a")
     with pytest.raises(EngineError):
         fl.flatten(FLAT, "Bad-Id")
+
+
+def test_writers_that_interleave_lose_nothing(spark, root):
+    """A writer whose manifest is out of date doesn't touch the segment of the one that was first, and tries again."""
+    store = Store(spark, root)
+    t = store.create(TableSpec("t", (col("id", "BigInt", primary_key=True), col("v", "Integer"))))
+    late = t.manifest
+    t.insert(spark.createDataFrame([(1, 10)], "id long, v int"))
+    with pytest.raises(Conflict):
+        t._append_segment(late, t._rows(late, spark.createDataFrame([(2, 20)], "id long, v int")), "u")
+    assert rows(t) == [(1, 10)] and len(store.list(f"{t.folder}/changes")) == 1
+    t.insert(spark.createDataFrame([(2, 20)], "id long, v int"))
+    assert rows(t) == [(1, 10), (2, 20)]
+
+
+def test_concurrent_writers(spark, root):
+    store = Store(spark, root)
+    t = store.create(TableSpec("t", (col("id", "BigInt", primary_key=True), col("v", "Integer"))))
+    with ThreadPoolExecutor(3) as pool:
+        for done in [pool.submit(t.insert, spark.createDataFrame([(k, k)], "id long, v int")) for k in range(6)]:
+            done.result()
+    assert rows(t) == [(k, k) for k in range(6)] and t.manifest.seq == 6
+    with pytest.raises(EngineError, match="unique"):
+        t.insert(spark.createDataFrame([(3, 0)], "id long, v int"))
