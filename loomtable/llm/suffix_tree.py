@@ -212,7 +212,7 @@ def _sum_bucket(group):
 
     known = total = 0
     if kind % 2 == COUNT:
-        n = np.concatenate([unpack(x, "<u4") for x in group["one"]]).astype(np.int64)[order]
+        n = np.concatenate([unpack(x, "<u8") for x in group["one"]]).astype(np.int64)[order]
         sums = np.add.reduceat(n, start)
         known, total = int((sums > 0).sum()), int(sums.sum())
         has = n > 0
@@ -221,12 +221,12 @@ def _sum_bucket(group):
         # beyond single words, one occurrence tells nothing
         least = 1 if kind == COUNT else 2
         totals = sums[which]
-        one = back(np.where(totals >= least, np.minimum(totals, 2**31 - 1) << 1 | first, 0)).astype("<u4")
+        one = back(np.where(totals >= least, totals << 1 | first, 0)).astype("<u8")
         two = None
     else:
-        sums = np.add.reduceat(np.concatenate([unpack(x, "<u4") for x in group["one"]]).astype(np.int64)[order], start)[which]
+        sums = np.add.reduceat(np.concatenate([unpack(x, "<u8") for x in group["one"]]).astype(np.int64)[order], start)[which]
         gains = np.add.reduceat(np.concatenate([unpack(x, "<f4") for x in group["two"]]).astype(float)[order], start)[which]
-        one, two = back(np.minimum(sums, 2**32 - 1)).astype("<u4"), back(gains).astype("<f4")
+        one, two = back(sums).astype("<u8"), back(gains).astype("<f4")
     rows = list(zip(size[:-1], size[1:], strict=True))
     return pd.DataFrame(
         {
@@ -265,11 +265,11 @@ class _Reader:
                 block, name = Block(row, self.settings, self.corpus), row["block"]
                 for d in range(1, self.settings.depth + 2):
                     if 2 * d - 2 in self.paths:
-                        block.told(d, _answers(self.paths[2 * d - 2], 2 * d - 2, name, "one", "<u4").astype(np.int64))
+                        block.told(d, _answers(self.paths[2 * d - 2], 2 * d - 2, name, "one", "<u8").astype(np.int64))
                 for d in range(1, self.settings.depth + 1):
                     kind = 2 * d - 1
                     if kind in self.paths:
-                        block.judged(d, *(_answers(self.paths[kind], kind, name, c, t).astype(float) for c, t in (("one", "<u4"), ("two", "<f4"))))
+                        block.judged(d, *(_answers(self.paths[kind], kind, name, c, t).astype(float) for c, t in (("one", "<u8"), ("two", "<f4"))))
                 yield name, block
 
 
@@ -310,7 +310,7 @@ def score(docs: DataFrame, settings: Settings | None = None, every: int = 10) ->
     paths: dict[int, str] = {}
 
     def words(name: int, block: Block) -> Iterator[dict]:
-        yield from _chunks(name, 0, block.vocabulary, [block.local(1).astype("<u4")], buckets)
+        yield from _chunks(name, 0, block.vocabulary, [block.local(1).astype("<u8")], buckets)
 
     _round(blocks, words, _Reader(s, (0, 0), {}), f"{path}/words", buckets)
     released(spark)
@@ -323,10 +323,10 @@ def score(docs: DataFrame, settings: Settings | None = None, every: int = 10) ->
         def send(name: int, block: Block, level=level) -> Iterator[dict]:
             # counts of n-grams of level + 1 words, and gains of contexts of level - 1
             if level <= s.depth:
-                yield from _chunks(name, 2 * level, block.asked(level + 1)[1], [block.local(level + 1).astype("<u4")], buckets)
+                yield from _chunks(name, 2 * level, block.asked(level + 1)[1], [block.local(level + 1).astype("<u8")], buckets)
             if level > 1:
                 keys, sums, gains = block.gains(level - 1)
-                yield from _chunks(name, 2 * level - 3, keys, [sums.astype("<u4"), gains.astype("<f4")], buckets)
+                yield from _chunks(name, 2 * level - 3, keys, [sums.astype("<u8"), gains.astype("<f4")], buckets)
 
         _round(blocks, send, _Reader(s, corpus, dict(paths)), f"{path}/level{level}", buckets)
         released(spark)  # the round's shuffles have no use any more
