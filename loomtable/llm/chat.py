@@ -60,6 +60,17 @@ def fingerprint(paths: set[str]) -> str:
     return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()[:16]
 
 
+def _text(record: dict, name: str) -> str:
+    """A text field, empty if it is null or missing; ValueError if it is no text or UTF-8 can't express it."""
+    x = record.get(name)
+    if x is None:
+        return ""
+    if not isinstance(x, str):
+        raise ValueError(f"{name} is no text")
+    x.encode()  # half a surrogate pair raises UnicodeEncodeError, a ValueError
+    return x
+
+
 @dataclass(frozen=True)
 class Mapping:
     """Where a layout's turns lie.
@@ -78,12 +89,15 @@ class Mapping:
     roles: dict[str, str] = field(default_factory=dict, hash=False)
 
     def apply(self, record: dict) -> list[tuple[str, str]]:
+        """Turns (role, text) of a record; ValueError if a value has another type than the layout says."""
         if self.turns is not None:
             rows = [record] if self.turns == "" else record.get(self.turns) or []
-            return [(self.roles.get(r.get(self.role) or "", r.get(self.role) or ""), r.get(self.text) or "") for r in rows]
+            if not isinstance(rows, list) or not all(isinstance(r, dict) for r in rows):
+                raise ValueError("turns must be a list of objects")
+            return [(self.roles.get(_text(r, self.role), _text(r, self.role)), _text(r, self.text)) for r in rows]
         out = []
         for role, *names in self.parts:
-            text = "\n\n".join(x for x in (record.get(n) or "" for n in names) if x)
+            text = "\n\n".join(x for x in (_text(record, n) for n in names) if x)
             if text or role != "system":
                 out.append((role, text))
         return out
@@ -114,19 +128,25 @@ def select_mapping(paths: set[str], known: dict[str, Mapping]) -> Mapping | None
 
 
 def canonical(record: str | None, known: dict[str, Mapping]) -> tuple[str, list[tuple[str, str]]]:
-    """(mapping's name, turns) of a JSON record; ("unknown", []) if no mapping has its fingerprint or it is no JSON object."""
+    """(mapping's name, turns) of a JSON record.
+
+    ("unknown", []) if it is no JSON object, is nested too deeply to be read,
+    has the fingerprint of no mapping, or holds values of other types than
+    its layout's, or texts that UTF-8 can't express.
+    """
     try:
         value = json.loads(record) if record else None
-    except ValueError:
-        value = None
-    m = select_mapping(field_paths(value), known) if isinstance(value, dict) else None
-    return (m.name, m.apply(value)) if m else ("unknown", [])
+        m = select_mapping(field_paths(value), known) if isinstance(value, dict) else None
+        return (m.name, m.apply(value)) if m else ("unknown", [])
+    except (ValueError, RecursionError):
+        return "unknown", []
 
 
 def canonical_turns(records: DataFrame, id_col: str, json_col: str, mappings: list[Mapping] | None = None) -> DataFrame:
     """Turns (conv_id, turn, role, text, layout) of JSON records, each in a layout of its own.
 
-    Records without a known layout, null and broken ones give one row with
+    Records without a known layout, null and broken ones, and those whose
+    values have other types than their layout's, give one row with
     layout "unknown" and null turn, role and text, so that none is lost.
     """
     known = registry(MAPPINGS if mappings is None else mappings)

@@ -153,3 +153,9 @@ def test_turn_rows_look_up_the_registry(spark, monkeypatch):
     df = spark.createDataFrame([(1, 0, "user", "hi", "x")], "conv_id long, turn long, role string, text string, prompt string")
     assert [tuple(r) for r in chat.turn_rows(df).collect()] == [(1, 0, "user", "hi")]
     assert list(asked[0]) == [chat.fingerprint({"conv_id", "turn", "role", "text"})]
+
+
+def test_odd_records_are_unknown(spark):
+    odd = ['{"messages":[{"role":"user","content":5}]}', '{"prompt": 3, "completion": "x"}', '{"a":' * 5000 + "1" + "}" * 5000, '{"prompt":"\\ud800","completion":"x"}', '{"messages":[{"role":"user","content":"x"}, "y"]}', "[1]", "", None]
+    rows = spark.createDataFrame(list(enumerate(odd)), "id long, record string")
+    assert {(r["conv_id"], r["turn"], r["role"], r["text"], r["layout"]) for r in chat.canonical_turns(rows, "id", "record").collect()} == {(k, None, None, None, "unknown") for k in range(len(odd))}
