@@ -98,27 +98,29 @@ def _training(every: int) -> Column:
     return F.coalesce(id_crc(F.col("doc_id")) % every != 0, F.lit(False)) & F.col("lang").isNotNull()
 
 
-_LEARN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("part", T.IntegerType()), T.StructField("lang", T.StringType()), T.StructField("at", T.BinaryType()), T.StructField("n", T.BinaryType())])
+_LEARN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("part", T.IntegerType()), T.StructField("key", T.LongType()), T.StructField("lang", T.StringType()), T.StructField("at", T.BinaryType()), T.StructField("n", T.BinaryType())])
 _PARTS = 32
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Document frequencies of a task's texts in _PARTS rows, and the counts of sampled texts."""
     df, docs = np.zeros(DIMS, np.int64), 0
-    schema = pa.schema([("kind", pa.string()), ("part", pa.int32()), ("lang", pa.string()), ("at", pa.binary()), ("n", pa.binary())])
+    seen: set[tuple[str, int]] = set()  # a repeated row is sampled once
+    schema = pa.schema([("kind", pa.string()), ("part", pa.int32()), ("key", pa.int64()), ("lang", pa.string()), ("at", pa.binary()), ("n", pa.binary())])
     for batch, texts in pieces(batches, 0):
         rows = []
-        for x, lang, chosen in zip(texts, batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+        for x, lang, chosen, key in zip(texts, *(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
             c = counts(x.decode("utf-8", "replace"))
             df += c > 0
             docs += 1
-            if chosen:
+            if chosen and (lang, key) not in seen:
+                seen.add((lang, key))
                 at = np.flatnonzero(c)
-                rows.append({"kind": "row", "part": 0, "lang": lang, "at": at.astype("<u2").tobytes(), "n": c[at].astype("<u4").tobytes()})
+                rows.append({"kind": "row", "part": 0, "key": key, "lang": lang, "at": at.astype("<u2").tobytes(), "n": c[at].astype("<u4").tobytes()})
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
     step = DIMS // _PARTS
-    rows = [{"kind": "df", "part": k, "lang": None, "at": int(docs).to_bytes(8, "little"), "n": df[k * step : (k + 1) * step].astype("<i8").tobytes()} for k in range(_PARTS)]
+    rows = [{"kind": "df", "part": k, "key": None, "lang": None, "at": int(docs).to_bytes(8, "little"), "n": df[k * step : (k + 1) * step].astype("<i8").tobytes()} for k in range(_PARTS)]
     yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
 
@@ -148,21 +150,28 @@ class Model:
 
 
 def train(docs: DataFrame, every: int = 5, ftrl: Ftrl | None = None) -> Model | None:
-    """Learn from text and non-null lang of rows whose crc32 of the id isn't divisible by ``every``; None without such rows."""
+    """Learn from text and non-null lang of rows whose crc32 of the id isn't divisible by ``every``; None without such rows.
+
+    Document frequencies come from all of these rows, weights from a sample:
+    of each language about SAMPLE_PER_LANGUAGE rows by hash of id and text
+    (repeated rows once, and no more than twice as many over all languages).
+    Of more than MOST_LANGUAGES languages those with the most rows are
+    learned, ties by name; a single language is predicted for every text.
+    """
     rows = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(_training(every))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
     if not sizes:
         return None
     # a share of each language's rows by hash, so that about SAMPLE_PER_LANGUAGE are chosen
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, int(min(1.0, SAMPLE_PER_LANGUAGE / n) * (1 << 40)))])
-    chosen = F.shiftrightunsigned(F.xxhash64(F.lit(9), "doc_id"), 24) < share[F.col("lang")]
+    key = F.xxhash64(F.lit(9), "doc_id", "text")
+    chosen = F.coalesce(F.shiftrightunsigned(key, 24) < share[F.col("lang")], F.lit(False))
     bounded_batches(docs.sparkSession)
-    learned = rows.select("text", "lang", chosen.alias("chosen")).mapInArrow(_gather, _LEARN).persist()
+    learned = rows.select("text", "lang", chosen.alias("chosen"), key.alias("key")).mapInArrow(_gather, _LEARN).persist()
     try:
         parts = learned.where("kind = 'df'").groupBy("part").applyInPandas(_sum_parts, "part int, docs long, n binary").collect()
-        sample = sorted(((r["lang"], bytes(r["at"]), bytes(r["n"])) for r in learned.where("kind = 'row'").toLocalIterator()))
+        once = learned.where("kind = 'row'").dropDuplicates(["lang", "key"]).orderBy("key", "lang").limit(2 * SAMPLE_PER_LANGUAGE * len(sizes))
+        sample = sorted((r["lang"], bytes(r["at"]), bytes(r["n"])) for r in once.toLocalIterator())
     finally:
         learned.unpersist()
     df = np.concatenate([np.frombuffer(r["n"], "<i8") for r in sorted(parts, key=lambda r: r["part"])])

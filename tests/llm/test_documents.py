@@ -359,3 +359,26 @@ def test_ftrl_learns_sparse_weights():
     logits, labels = np.array([[5.0, 0.0]] * 10), np.array([0] * 7 + [1] * 3)
     p = language.softmax(logits / language.temperature(logits, labels))[0, 0]
     assert abs(p - 0.7) < 0.01
+
+
+def test_language_sample_is_bounded(spark):
+    """Rows that repeat one id are sampled once; of too many languages those with the most rows are learned; one language is predicted alone."""
+    rows = [(i, f"wort nummer {i} und noch eines", "de") for i in range(1, 40)] + [(1, "immer das gleiche", "de")] * 200
+    one = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {(r["lang_pred"], r["score"]) for r in language.language_id(one).collect()} == {("de", 1.0)}
+    many = spark.createDataFrame([(i, f"text {i % 600} text", f"l{i % 600:03d}") for i in range(1500)], "doc_id long, text string, lang string")
+    assert len(language.train(many, ftrl=language.Ftrl(), every=5).languages) == language.MOST_LANGUAGES
+
+
+def test_jaccard_signatures(spark):
+    """Bits that differ are never more than the shingles that do, and equal sets have equal signatures."""
+    r = np.random.default_rng(3)
+    for n in (1, 5, 300, 5000):
+        a = np.unique(r.integers(0, 2**63, n).astype(np.uint64) << np.uint64(1))
+        b = np.unique(np.concatenate([a[: n // 2], r.integers(0, 2**63, n // 3).astype(np.uint64) << np.uint64(1)]))
+        bits = int(np.bitwise_count(jaccard.signature(a) ^ jaccard.signature(b)).sum())
+        assert bits <= len(np.setxor1d(a, b)) and (jaccard.signature(a) == jaccard.signature(a.copy())).all()
+    x = np.array([0, 1, 127, 128, 5000, 10**6, 2**40])
+    assert (np.diff(jaccard.counter_code(x).astype(int)) >= 0).all() and jaccard.counter_code(x)[:3].tolist() == [0, 1, 127]
+    i, j = jaccard._pairs_within(np.array([0, 3, 4]), np.array([3, 1, 2]))
+    assert sorted(zip(i.tolist(), j.tolist())) == [(0, 1), (0, 2), (1, 2), (4, 5)]
