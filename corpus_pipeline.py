@@ -8,15 +8,12 @@ from pyspark.sql import functions as F
 from loomtable.llm import jaccard, language, mixing, packing
 from loomtable.llm.common import table, work_dir, written
 
-#: A document whose likeliest language is less probable than this is rejected.
-LEAST_SCORE = 0.5
-
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language: those without a letter, and those of no clear language, go."""
+    """Documents with a language: those that the operator rejects (no text, or no letter in it) go."""
     model = language.train(docs)
     rows = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
-    return language.identify(rows, model).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("row.*")
+    return language.identify(rows, model).where("lang_pred != 'und'").select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
