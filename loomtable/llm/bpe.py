@@ -58,8 +58,9 @@ class SegmentEncoder:
 
     Texts are cut by ``segment_starts``; segments are told apart by 64-bit
     hashes, and each distinct one is encoded by the library once a call, or
-    taken from the cache.  The cache holds ``limit`` segments that were seen
-    in two calls at most, and is renewed when too many look-ups miss it.
+    taken from the cache.  The cache holds at most ``limit`` segments that were
+    seen in two calls, besides half as many seen in one, and is renewed when
+    too many look-ups miss it.
     Strings of added tokens inside a text give these tokens, as the library
     has it.  Texts with such a string or a zero byte are encoded whole.
     """
@@ -116,7 +117,7 @@ class SegmentEncoder:
             got[k] = x
         for k, x in zip(odd, self._ids([texts[k] for k in odd]), strict=True):
             got[k] = x.tobytes()
-        if len(once) + len(new) > self.limit:
+        if len(once) + len(new) > self.limit // 2:
             once.clear()
         for k, x in zip(new, got, strict=True):
             out[k] = x

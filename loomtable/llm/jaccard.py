@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomtable.llm.common import bounded_batches, partitions, pieces, released, salted_join, work_dir, written
+from loomtable.llm.common import bounded_batches, partitions, pieces, released, salted_join, trimmed, work_dir, written
 from loomtable.llm.components import components
 from loomtable.llm.packed import pack, unpack
 from loomtable.llm.words import mix, shingle_sets
@@ -203,7 +203,7 @@ def _prefixes(texts: DataFrame, shared, hot: int, percent: int, width: int, buck
         if held:
             yield close()
 
-    return texts.mapInArrow(run, "bucket int, token binary, node binary, at binary, nodes binary, n binary")
+    return texts.mapInArrow(trimmed(run), "bucket int, token binary, node binary, at binary, nodes binary, n binary")
 
 
 def _pairs_within(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -340,7 +340,7 @@ def _sets(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 sets = shingle_sets([xs[k] for k in some], width)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[some].astype(np.int64)), pa.array([_node(s) for s in sets], pa.int64()), pa.array([_set_cell(s) for s in sets], pa.binary())], names=["rep", "node", "cell"])
 
-    made = texts.mapInArrow(run, "rep long, node long, cell binary")
+    made = texts.mapInArrow(trimmed(run), "rep long, node long, cell binary")
     return made.join(wanted, ["rep", "node"], "left_semi").select("node", "cell")
 
 
@@ -369,7 +369,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     copies = degree.join(sets, degree["v"] == sets["node"]).select("v", F.col("cell").alias("y"), F.explode(F.sequence(F.lit(0), F.floor(F.col("d") / share).cast("int"))).alias("s"))
     dealt = pairs.join(degree, "v").select("u", "v", F.pmod(F.xxhash64("u"), F.floor(F.col("d") / share) + 1).cast("int").alias("s"))
     dealt = dealt.join(sets.select(F.col("node").alias("u"), F.col("cell").alias("x")), "u")
-    return dealt.join(copies, ["v", "s"]).select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
+    return dealt.join(copies, ["v", "s"]).select("u", "v", "x", "y").mapInArrow(trimmed(run), "u long, v long")
 
 
 def _grouped(docs: DataFrame, percent: int, width: int) -> DataFrame:
@@ -380,7 +380,7 @@ def _grouped(docs: DataFrame, percent: int, width: int) -> DataFrame:
     texts = _texts(docs)
     size = texts.agg(F.sum(F.octet_length("text")).alias("s")).first()["s"] or 0
     packed = ", ".join(f"{c} binary" for c in ("docs", "hashes", "nodes", "n", "signs", "counts"))
-    measured = written(texts.mapInArrow(_measure(width, sketch_size(size)), f"part int, task long, {packed}"), f"{path}/measured")
+    measured = written(texts.mapInArrow(trimmed(_measure(width, sketch_size(size))), f"part int, task long, {packed}"), f"{path}/measured")
     sketch, hot = _sketch(measured.where("part >= 0").select("part", "task", "counts"), path)
     rows = measured.where("part < 0").select("docs", "hashes", "nodes", "n", "signs", "counts").mapInArrow(_unpack_docs, "doc_id long, text_hash long, node long, n long, " + ", ".join(f"{w} long" for w in SIGN))
     signed = rows.where("doc_id IS NOT NULL AND n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), *(F.first(w).alias(w) for w in SIGN))

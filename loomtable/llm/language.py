@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomtable.llm.common import bounded_batches, id_crc, pieces
+from loomtable.llm.common import bounded_batches, id_crc, pieces, trimmed
 
 #: Hashed features; n-gram lengths; documents scored at once.
 DIMS, ORDERS, CHUNK = 1 << 15, (1, 2, 3), 64
@@ -167,7 +167,7 @@ def train(docs: DataFrame, every: int = 5, ftrl: Ftrl | None = None) -> Model |
     key = F.xxhash64(F.lit(9), "doc_id", "text")
     chosen = F.coalesce(F.shiftrightunsigned(key, 24) < share[F.col("lang")], F.lit(False))
     bounded_batches(docs.sparkSession)
-    learned = rows.select("text", "lang", chosen.alias("chosen"), key.alias("key")).mapInArrow(_gather, _LEARN).persist()
+    learned = rows.select("text", "lang", chosen.alias("chosen"), key.alias("key")).mapInArrow(trimmed(_gather), _LEARN).persist()
     try:
         parts = learned.where("kind = 'df'").groupBy("part").applyInPandas(_sum_parts, "part int, docs long, n binary").collect()
         once = learned.where("kind = 'row'").dropDuplicates(["lang", "key"]).orderBy("key", "lang").limit(2 * SAMPLE_PER_LANGUAGE * len(sizes))
@@ -229,7 +229,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
     bounded_batches(docs.sparkSession)
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(trimmed(run), schema)
 
 
 def language_id(docs: DataFrame, every: int = 5) -> DataFrame:

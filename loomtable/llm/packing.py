@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomtable.llm.bpe import default_vocabulary, encoder
-from loomtable.llm.common import bounded_batches, bytes_of, partitions, pieces, work_dir, written
+from loomtable.llm.common import bounded_batches, bytes_of, partitions, pieces, trimmed, work_dir, written
 
 END = b"\0\0\0\0"
 _PIECES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("doc_tokens", T.LongType())])
@@ -87,7 +87,7 @@ def cut_pieces(docs: DataFrame, vocabulary: str, size: int) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, step = encoder(vocabulary), 4 * size
-        for batch, texts in pieces(batches, 1, 4 << 20):
+        for batch, texts in pieces(batches, 1, 2 << 20):
             cols: list[list] = [[], [], [], [], []]
             for doc_id, ids in zip(batch.column(0).to_pylist(), enc.encode(texts), strict=True):
                 ids += END
@@ -98,7 +98,7 @@ def cut_pieces(docs: DataFrame, vocabulary: str, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=_PIECES.names)
 
     bounded_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, _PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(cut), _PIECES)
 
 
 def pack(docs: DataFrame, vocabulary: str | None = None, size: int = 1024) -> DataFrame:
