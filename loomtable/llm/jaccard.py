@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomtable.llm.common import bounded_batches, partitions, pieces, released, salted_join, trimmed, work_dir, written
+from loomtable.llm.common import bounded_batches, dropped, partitions, pieces, released, salted_join, trimmed, work_dir, written
 from loomtable.llm.components import components
 from loomtable.llm.packed import pack, unpack
 from loomtable.llm.words import mix, shingle_sets
@@ -137,6 +137,8 @@ def _sketch(counts: DataFrame, path: str) -> tuple[np.ndarray, int]:
         if not last:
             break
     parts = sorted(counts.groupBy("part").applyInPandas(_coded, "part int, total long, codes binary").collect(), key=lambda r: r["part"])
+    for k in range(steps):
+        dropped(counts.sparkSession, f"{path}/sketch{k}")
     codes = np.frombuffer(b"".join(r["codes"] for r in parts), np.uint8)
     return codes, int(counter_code(max(HOT, HOT_MEANS * (sum(r["total"] for r in parts) // len(codes)))))
 
@@ -382,7 +384,11 @@ def _grouped(docs: DataFrame, percent: int, width: int) -> DataFrame:
     packed = ", ".join(f"{c} binary" for c in ("docs", "hashes", "nodes", "n", "signs", "counts"))
     measured = written(texts.mapInArrow(trimmed(_measure(width, sketch_size(size))), f"part int, task long, {packed}"), f"{path}/measured")
     sketch, hot = _sketch(measured.where("part >= 0").select("part", "task", "counts"), path)
-    rows = measured.where("part < 0").select("docs", "hashes", "nodes", "n", "signs", "counts").mapInArrow(_unpack_docs, "doc_id long, text_hash long, node long, n long, " + ", ".join(f"{w} long" for w in SIGN))
+    # the tasks' sketches have done their part
+    named = written(measured.where("part < 0").drop("part", "task"), f"{path}/documents")
+    dropped(spark, f"{path}/measured")
+    released(spark)
+    rows = named.select("docs", "hashes", "nodes", "n", "signs", "counts").mapInArrow(_unpack_docs, "doc_id long, text_hash long, node long, n long, " + ", ".join(f"{w} long" for w in SIGN))
     signed = rows.where("doc_id IS NOT NULL AND n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), *(F.first(w).alias(w) for w in SIGN))
     classes = written(signed, f"{path}/classes")
 
@@ -398,6 +404,7 @@ def _grouped(docs: DataFrame, percent: int, width: int) -> DataFrame:
     postings = found.where("token IS NOT NULL").select("token", "node", "n", "at")
     several = postings.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("token")
     placed = written(postings.join(several, "token", "left_semi").withColumn("root", F.col("node")), f"{path}/placed")
+    dropped(spark, f"{path}/postings")
     # only classes of these pairs and postings take part from here on
     nodes = few.select(F.explode(F.array("u", "v")).alias("node")).unionByName(placed.select("node")).distinct()
     wanted = written(classes.join(nodes, "node", "left_semi"), f"{path}/wanted")
@@ -419,6 +426,7 @@ def _grouped(docs: DataFrame, percent: int, width: int) -> DataFrame:
         # tokens within one component have done their part
         split = whole.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("token")
         placed = written(whole.join(split, "token", "left_semi"), f"{path}/placed{k}")
+        dropped(spark, f"{path}/placed{k - 1}" if k else f"{path}/placed")
         released(spark)
 
     # pairs that are left; the largest component of a token is never compared within itself
@@ -434,9 +442,9 @@ def _grouped(docs: DataFrame, percent: int, width: int) -> DataFrame:
     links = links.unionByName(written(_verified(more, sets, percent).distinct(), f"{path}/links"))
     root = components(links, f"{path}/components")
 
-    named = root.join(classes.select("node", "rep"), "node")
-    least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    grouped = named.join(least, "root").select("node", "root", "component_id")
+    members = root.join(classes.select("node", "rep"), "node")
+    least = members.groupBy("root").agg(F.min("rep").alias("component_id"))
+    grouped = members.join(least, "root").select("node", "root", "component_id")
     of = classes.select("node", "rep").join(grouped, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.coalesce("component_id", "rep").alias("component_id"))
     alone = F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component_id"))
     return salted_join(rows.drop(*SIGN), of, ["node"], F.coalesce("doc_id", F.rand(1)), 8, "left").select("doc_id", "text_hash", "n", "node", "root", alone.alias("component_id"))
