@@ -33,7 +33,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 STAGES = [("language_id", keep_languages), ("near_duplicates", drop_near_duplicates), ("mixing", mix_sources), ("packing", pack_sequences)]
 
-#: SQL can't express the language model: tests hold the pipeline against a brute-force version.
+#: SQL can't express the language model: tests hold each stage against its operator, and the operators against brute force.
 ORACLE_SQL = None
 
 
