@@ -8,9 +8,12 @@ from functools import reduce
 from itertools import islice
 
 import pyarrow as pa
+from pyspark.rdd import _load_from_socket
+from pyspark.serializers import NoOpSerializer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from loomtable.errors import DataFormatError
 from loomtable.sources.batch import ColumnarBatch, ColumnarSchema
@@ -19,6 +22,9 @@ from loomtable.types import COLUMNAR, TYPE_HINTS
 # The rule by which "auto" chooses.
 WIDE_COLUMNS, NARROW_COLUMNS, MANY_ROWS = 128, 64, 500_000
 
+#: Bytes of a result that the driver fetches at once.
+WINDOW_BYTES = 512 << 20
+
 
 @dataclass(frozen=True)
 class Preflight:
@@ -107,11 +113,43 @@ def compare(source: DataFrame, **sides: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionAll, tagged).groupBy(*[f"`{n}`" for n in source.columns]).agg(*[F.count_if(F.col("_side") == k).alias(f"n_{k}") for k in named])
 
 
+def transfer(frame: DataFrame) -> Iterator[pa.RecordBatch]:
+    """Arrow batches of a frame, in its order, straight from the JVM and without a Python worker.
+
+    Partitions are fetched several at a time, as many as are expected to stay
+    within WINDOW_BYTES (and half of spark.driver.maxResultSize): by four times
+    the plan's estimate at first, then by the largest one seen; at least one.
+    """
+    spark = frame.sparkSession
+    sc = spark.sparkContext
+    result = sc._jsc.sc().conf().getSizeAsBytes("spark.driver.maxResultSize", "1g") or WINDOW_BYTES * 2
+    room = min(WINDOW_BYTES, result // 2)
+    kind = to_arrow_schema(frame.schema, prefers_large_types=spark._jconf.arrowUseLargeVarTypes())
+    rdd = frame._jdf.toArrowBatchRdd().toJavaRDD()
+    parts, at = rdd.getNumPartitions(), 0
+    largest = 4 * int(str(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // max(1, parts)
+    seen = 0
+    while at < parts:
+        width = min(parts - at, max(1, room // max(1, largest)))
+        window = sc._jvm.java.util.ArrayList()
+        for k in range(at, at + width):
+            window.append(k)
+        size = 0
+        for data in _load_from_socket(sc._jvm.PythonRDD.runJob(sc._jsc.sc(), rdd, window), NoOpSerializer()):
+            size += len(data)
+            yield pa.ipc.read_record_batch(pa.py_buffer(data), kind)
+        # sizes within a window aren't known apart: its mean, doubled, but for a single partition
+        seen = max(seen, size if width == 1 else 2 * size // width)
+        largest, at = seen, at + width
+
+
 class BatchReader:
     """Batches of exactly the capacity, but for the last, in the result's order.
 
-    mode "arrow" fetches Arrow partitions one at a time; "row" fetches rows.
-    Both give equal batches.  The driver holds a partition at most.
+    Arrow data comes from the JVM, a bounded window of partitions at a time,
+    whatever the mode: the rule of "auto" chooses "row" or "arrow" as it is
+    fixed, but cells that cross as Python rows would only be slower.
+    ``by_rows`` is the transfer of single rows.
     """
 
     def __init__(self, spark: SparkSession, sql: str, schema: ColumnarSchema, mode: str = "auto", expected_rows: int | None = None, checks: Preflight = Preflight(), source: dict | None = None):
@@ -119,50 +157,30 @@ class BatchReader:
         self.mode = choose_reader(mode, len(schema), expected_rows)
         self.frame = select(spark, sql, schema, checks, source)
         self._parts: Iterator[pa.RecordBatch] | None = None
-        self._rest: list[pa.RecordBatch] = []
+        self._rest: pa.RecordBatch | None = None
 
     def _arrow(self) -> Iterator[pa.RecordBatch]:
         kind = self.schema.arrow()
-
-        def serialise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, b.schema) as w:
-                    w.write_batch(b)
-                yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["data"])
-
-        for r in self.frame.mapInArrow(serialise, "data binary").toLocalIterator(prefetchPartitions=True):
-            for b in pa.ipc.open_stream(bytes(r["data"])):
-                yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(b.columns, kind.types, strict=True)], schema=kind)
-
-    def _by_row(self) -> Iterator[pa.RecordBatch]:
-        kind, held = self.schema.arrow(), []
-        for r in _micros(self.frame, self.schema).toLocalIterator():
-            held.append(tuple(r))
-            if len(held) == 4096:
-                yield _of_rows(held, kind)
-                held = []
-        if held:
-            yield _of_rows(held, kind)
+        for b in transfer(self.frame):
+            yield pa.RecordBatch.from_arrays([c if c.type == t else c.cast(t) for c, t in zip(b.columns, kind.types, strict=True)], schema=kind)
 
     def next_batch_into(self, out: ColumnarBatch) -> int:
         """Fill a batch up to its capacity; 0 rows when the result is exhausted, then and ever after."""
         if out.schema != self.schema:
             raise DataFormatError("the batch's schema differs from the reader's")
         if self._parts is None:
-            self._parts = self._arrow() if self.mode == "arrow" else self._by_row()
-        need, have = out.row_capacity, sum(b.num_rows for b in self._rest)
-        while have < need and (b := next(self._parts, None)) is not None:
-            if b.num_rows:
-                self._rest.append(b)
-                have += b.num_rows
-        out.prepare(need)
-        if not have:
-            return 0
-        whole = pa.Table.from_batches(self._rest, self.schema.arrow()).combine_chunks()
-        n = min(need, have)
-        out._full = whole.slice(0, n).combine_chunks().to_batches()[0]
-        self._rest = whole.slice(n).to_batches()
+            self._parts = self._arrow()
+        need, taken = out.row_capacity, []
+        while need and (b := self._rest if self._rest is not None else next(self._parts, None)) is not None:
+            n = min(need, b.num_rows)
+            taken.append(b.slice(0, n))
+            self._rest = b.slice(n) if n < b.num_rows else None
+            need -= n
+        n = out.row_capacity - need
+        out.prepare(out.row_capacity)
+        if n:
+            taken = [b for b in taken if b.num_rows]
+            out._full = taken[0] if len(taken) == 1 else pa.Table.from_batches(taken).combine_chunks().to_batches()[0]
         return n
 
     def batches(self, capacity: int) -> Iterator[ColumnarBatch]:
