@@ -15,7 +15,7 @@ from loomtable.operators import migrate, rewrite
 from loomtable.operators.table import Store
 from loomtable.operators.workspace import work_dir
 from loomtable.plans.diff import MigrationConfig
-from loomtable.sources import columnar, envelope
+from loomtable.sources import columnar, envelope, pgcopy
 from loomtable.sources.batch import ColumnarSchema
 from loomtable.spec import ColumnSpec, IndexSpec, TableSpec
 from loomtable.streaming.cdc import stream_catch_up
@@ -102,6 +102,54 @@ def row_vs_arrow_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return columnar.compare(a, row=columnar.by_rows(a, schema), arrow=envelope.decode_frame(envelope.encode_frame(a, schema), schema))
 
 
+_ORDER = ColumnarSchema.of(("o_orderkey", "I64"), ("o_totalprice", "F64"), ("o_orderstatus", "Utf8"))
+_ORDER_SQL = "SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders"
+_BATCH_ROWS = 5000
+
+
+def _batch_digests(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
+    """A row a batch that the reader gives; the batches themselves pass the driver one at a time."""
+    views(spark, sf_dir, "orders")
+    out = []
+    for k, b in enumerate(columnar.BatchReader(spark, f"{_ORDER_SQL} ORDER BY o_orderkey", _ORDER, mode, 10**6).batches(_BATCH_ROWS)):
+        keys, prices = b.fixed(0), b.fixed(1).view("f8")  # floats come as their bits
+        out.append((k, b.row_count, int(keys[0]), int(keys[-1]), int(keys.sum()), int((prices * 100).round().sum()), len(b.variable(2)[1])))
+    return spark.createDataFrame(out, "batch long, n_rows long, first_key long, last_key long, key_sum long, cents long, status_bytes long")
+
+
+_BATCH_ORACLE = f"SELECT CAST(batch AS BIGINT) AS batch, count(*) AS n_rows, min(o_orderkey) AS first_key, max(o_orderkey) AS last_key, CAST(sum(o_orderkey) AS BIGINT) AS key_sum, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS cents, CAST(sum(length(o_orderstatus)) AS BIGINT) AS status_bytes FROM (SELECT *, (row_number() OVER (ORDER BY o_orderkey) - 1) // {_BATCH_ROWS} AS batch FROM orders) GROUP BY batch"
+
+
+@query(_BATCH_ORACLE)
+def read_batches_arrow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of a sorted table through the batch reader, in full batches."""
+    return _batch_digests(spark, sf_dir, "arrow")
+
+
+@query(_BATCH_ORACLE)
+def read_batches_auto(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the mode chosen by the rule."""
+    return _batch_digests(spark, sf_dir, "auto")
+
+
+_COPIED = ColumnarSchema.of(("l_orderkey", "I64"), ("l_linenumber", "I32"), ("l_quantity", "F64"), ("l_returnflag", "Utf8"), ("micros", "TimestampTzMicros"), ("flag", "Bool"), ("small", "I16"), ("raw", "Bytes"), ("half", "F32"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag, epoch_us(CAST(l_shipdate AS TIMESTAMP)) AS micros, CASE WHEN l_linenumber = 3 THEN NULL ELSE l_quantity > 25 END AS flag, CAST(l_linenumber AS SMALLINT) AS small, length(l_returnflag) + 1 AS raw_bytes, CAST(l_quantity / 2 AS DOUBLE) AS half FROM lineitem")
+def copy_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole table as binary copy streams and back."""
+    source = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_quantity", "l_returnflag",
+        F.timestamp_micros(scalars.wall_clock_micros(F.col("l_shipdate"))).alias("micros"),
+        F.when(F.col("l_linenumber") != 3, F.col("l_quantity") > 25).alias("flag"),
+        F.col("l_linenumber").cast("short").alias("small"),
+        F.concat(F.col("l_returnflag").cast("binary"), F.lit(b"\0")).alias("raw"),
+        (F.col("l_quantity") / 2).cast("float").alias("half"),
+    )
+    back = pgcopy.decode_frame(pgcopy.encode_frame(source, _COPIED), _COPIED)
+    return back.select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag", F.unix_micros("micros").alias("micros"), "flag", "small", F.octet_length("raw").cast("long").alias("raw_bytes"), F.col("half").cast("double").alias("half"))
+
+
 @query("SELECT count(*) AS n_rows, count(x) AS n_present, CAST(sum(CASE WHEN x IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_null FROM (SELECT CASE WHEN event_id % 10 = 0 THEN NULL ELSE value END AS x FROM events)")
 def null_placeholder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nulls through the envelope stay nulls."""

@@ -150,7 +150,7 @@ class ColumnarBatch:
         """(row + 1 offsets, bytes) of a variable-width column; null has no bytes."""
         if self.column_type(column) not in ("Utf8", "Bytes", "JsonbText"):
             raise DataFormatError(f"{self.column_type(column)} is no variable-width type")
-        values = [x.encode("utf-8", "surrogatepass") if isinstance(x, str) else x or b"" for x in self.arrow().column(column).to_pylist()]
+        values = [x or b"" for x in self.arrow().column(column).cast(pa.binary()).to_pylist()]
         offsets = np.cumsum([0, *map(len, values)])
         if offsets[-1] >= 2**32:
             raise DataFormatError("a column's bytes in a batch must stay below 4 GiB")

@@ -5,9 +5,11 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
+from io import BytesIO
 from typing import BinaryIO
 
 import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from loomtable.errors import DataFormatError
@@ -69,10 +71,12 @@ class CopyReader:
         if kind == "JsonbText" and data[:1] == b"\x01":
             data = data[1:]  # the binary type's version; plain JSON text has none
         if kind in ("Utf8", "JsonbText"):
-            try:
-                return data.decode("utf-8", "strict" if self.limits.validate_utf8 else "replace")
-            except UnicodeDecodeError as e:
-                raise DataFormatError("invalid UTF-8 in a text field") from e
+            if self.limits.validate_utf8:
+                try:
+                    data.decode()
+                except UnicodeDecodeError as e:
+                    raise DataFormatError("invalid UTF-8 in a text field") from e
+            return data  # the bytes as they are, valid or not checked
         return data
 
     def rows(self) -> Iterator[list]:
@@ -103,6 +107,8 @@ class CopyReader:
                 raw = b"".join((x or bytes(width))[::-1] for x in c)
                 valid = pa.array([x is not None for x in c])
                 out.append(pa.Array.from_buffers(t, len(c), [valid.buffers()[1], pa.py_buffer(raw)]))
+            elif f.type in ("Utf8", "JsonbText"):
+                out.append(pa.array(c, pa.binary()).cast(t, safe=False))
             else:
                 out.append(pa.array(c, t))
         return pa.RecordBatch.from_arrays(out, schema=kind)
@@ -149,6 +155,32 @@ def encode_copy(batches: Iterator[ColumnarBatch], out: BinaryIO) -> None:
     out.write(struct.pack(">h", -1))
 
 
+def encode_frame(df: DataFrame, schema: ColumnarSchema) -> DataFrame:
+    """A row an Arrow batch: a whole copy stream (payload binary) of its rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                out = BytesIO()
+                encode_copy(iter([ColumnarBatch.from_arrow(schema, b)]), out)
+                yield pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary())], names=["payload"])
+
+    return df.mapInArrow(run, "payload binary")
+
+
+def decode_frame(df: DataFrame, schema: ColumnarSchema, batch_rows: int = 10_000) -> DataFrame:
+    """The rows of copy streams (payload binary); null payloads are passed over."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for data in b.column(0).to_pylist():
+                if data is not None:
+                    for x in CopyReader(BytesIO(data), schema).arrow(batch_rows):
+                        yield pa.RecordBatch.from_arrays([c.cast(pa.binary()) if f.type == "Uuid" else c for c, f in zip(x.columns, schema.fields, strict=True)], names=schema.names())
+
+    return df.select("payload").mapInArrow(run, schema.spark())
+
+
 class _File(InputPartition):
     def __init__(self, path: str):
         super().__init__(path)

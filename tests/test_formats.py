@@ -156,3 +156,18 @@ def test_vectors_keep_every_bit(element, data):
 def test_canonical_json():
     assert canonical_json('{"bb":1.0,"a":2,"a":3}') == '{"a": 3, "bb": 1.0}'
     assert canonical_json("[1,2,3]") == "[1, 2, 3]"
+
+
+def test_copy_keeps_bytes_of_unchecked_text():
+    import io
+    import struct
+
+    from loomtable.formats import COPY_SIGNATURE
+    from loomtable.sources.pgcopy import CopyLimits, CopyReader
+
+    schema = ColumnarSchema.of(("t", "Utf8"))
+    data = COPY_SIGNATURE + struct.pack(">iIhi", 0, 0, 1, 3) + b"a\xffb" + struct.pack(">h", -1)
+    (b,) = CopyReader(io.BytesIO(data), schema, CopyLimits(validate_utf8=False)).arrow(5)
+    assert ColumnarBatch.from_arrow(schema, b).variable(0)[1] == b"a\xffb"
+    with pytest.raises(DataFormatError, match="UTF-8"):
+        list(CopyReader(io.BytesIO(data), schema).arrow(5))
