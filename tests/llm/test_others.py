@@ -159,3 +159,21 @@ def test_odd_records_are_unknown(spark):
     odd = ['{"messages":[{"role":"user","content":5}]}', '{"prompt": 3, "completion": "x"}', '{"a":' * 5000 + "1" + "}" * 5000, '{"prompt":"\\ud800","completion":"x"}', '{"messages":[{"role":"user","content":"x"}, "y"]}', "[1]", "", None]
     rows = spark.createDataFrame(list(enumerate(odd)), "id long, record string")
     assert {(r["conv_id"], r["turn"], r["role"], r["text"], r["layout"]) for r in chat.canonical_turns(rows, "id", "record").collect()} == {(k, None, None, None, "unknown") for k in range(len(odd))}
+
+
+def test_collision_search_in_a_whole_shard(spark):
+    """Recall where a shard is full, so that about 41 % of its rows are verified."""
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((40, 64))
+    m = centres[rng.integers(0, 40, ann.SHARD_ROWS + 300)] + rng.standard_normal((ann.SHARD_ROWS + 300, 64))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(m)], "vec_id long, embedding array<double>").coalesce(1)
+    got = {}
+    for r in ann.nearest(df, every=100).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    recall = []
+    for k in range(0, len(m), 100):
+        s = m @ m[k]
+        s[k] = -np.inf
+        recall.append(len(got[k] & set(np.argsort(-s)[:20].tolist())) / 20)
+    print("recall", np.mean(recall))
+    assert np.mean(recall) >= 0.9
