@@ -7,7 +7,7 @@ from itertools import count
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtable.llm.common import salted_join, written
+from loomtable.llm.common import dropped, salted_join, written
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -23,17 +23,19 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u != v").distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether edges (u, v), u > v, are stars around their least nodes: no node has two parents, or a parent and a child."""
+    ends = F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("child"), F.lit(0).alias("parent")), F.struct(F.col("v").alias("node"), F.lit(0).alias("child"), F.lit(1).alias("parent"))))
+    nodes = edges.select(ends.alias("e")).select("e.*").groupBy("node").agg(F.sum("child").alias("parents"), F.max("parent").alias("has_child"))
+    return not nodes.where("parents > 1 OR parents = 1 AND has_child = 1").limit(1).count()
+
+
 def components(links: DataFrame, path: str) -> DataFrame:
     """(node, root) of all nodes of links (u, v); root is the least node of a component."""
-    edges = written(links.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{path}/edges")
-    state = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    before = state(edges)
-    for k in count():
-        if not before[0]:
+    edges = written(links.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{path}/round0")
+    for k in count(1):
+        if _settled(edges):
             break
         edges = written(_stars(_stars(edges, True), False), f"{path}/round{k}")
-        now = state(edges)
-        if now == before:
-            break
-        before = now
+        dropped(edges.sparkSession, f"{path}/round{k - 1}")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
