@@ -25,42 +25,68 @@ _TABLE = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0
 BASE_PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
 # Wordings of public licenses with markup.
+_BSD_TERMS = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+    following conditions are met: <<var:1>> Redistributions of source code must retain the above copyright notice, this list of
+    conditions and the following disclaimer. <<var:1>> Redistributions in binary form must reproduce the above copyright notice,
+    this list of conditions and the following disclaimer in the documentation and/or other materials provided with the
+    distribution."""
+_BSD_NAMES = """<<var:1>> Neither the name of <<var:20>> nor the names of <<var:4>> contributors may be used to endorse or promote
+    products derived from this software without specific prior written permission."""
+_BSD_WARRANTY = """THIS SOFTWARE IS PROVIDED BY <<var:20>> "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED
+    TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL <<var:20>>
+    BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO,
+    PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY
+    THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT
+    OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
 TEMPLATES: list[tuple[str, str]] = [
+    # notices of one line
     ("mit", "released under <<optional>>the terms of<</optional>> the <<optional>>expat or<</optional>> mit license"),
+    ("apache", "licensed under the apache license <<optional>>version<</optional>> 2"),
+    ("gpl", "licensed under the <<optional>>terms of the<</optional>> gnu <<optional>>lesser<</optional>> <<optional>>affero<</optional>> general public license"),
+    ("cc", "licensed under <<optional>>a<</optional>> <<optional>>the<</optional>> creative commons <<optional>>cc<</optional>> attribution <<optional>>noncommercial<</optional>> <<optional>>sharealike<</optional>> <<optional>>noderivatives<</optional>> <<var:2>> license"),
+    ("cc", "licensed under <<optional>>a<</optional>> <<optional>>the<</optional>> <<optional>>creative commons<</optional>> cc by"),
+    # whole wordings
     (
         "mit",
         """Permission is hereby granted, free of charge, to any person obtaining a copy of <<var:12>> (the "Software"), to deal in
         the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish,
         distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to
         do so, subject to the following conditions: The above copyright notice and this permission notice
-        <<optional>>(including the next paragraph)<</optional>> shall be included in all copies or substantial portions of the Software.""",
+        <<optional>>(including the next paragraph)<</optional>> shall be included in all copies or substantial portions of the Software.
+        THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+        WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL <<var:20>> BE
+        LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT
+        OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
     ),
-    ("apache", "licensed under the apache license <<optional>>version<</optional>> 2 <<optional>>0<</optional>>"),
     (
         "apache",
         """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this <<var:3>> except in compliance with
-        the License. You may obtain a copy of the License at""",
+        the License. You may obtain a copy of the License at <<var:10>> Unless required by applicable law or agreed to in writing,
+        software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND,
+        either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
     ),
-    ("gpl", "licensed under the <<optional>>terms of the<</optional>> gnu <<optional>>lesser<</optional>> general public license <<optional>>version<</optional>> <<var:1>>"),
     (
         "gpl",
-        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public
-        License as published by the Free Software Foundation, either version <<var:1>> of the License, or
-        <<optional>>(at your option)<</optional>> any later version.""",
-    ),
-    (
-        "bsd",
-        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
-        following conditions are met: <<optional>>1.<</optional>> Redistributions of source code must retain the above copyright
-        notice, this list of conditions and the following disclaimer""",
+        """This <<var:4>> is free software: you can redistribute it and/or modify it under the terms of the GNU
+        <<optional>>Lesser<</optional>> <<optional>>Affero<</optional>> General Public License as published by the Free Software
+        Foundation, either version <<var:2>> of the License, or <<optional>>(at your option)<</optional>> any later version.
+        <<var:5>> is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty
+        of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU <<optional>>Lesser<</optional>>
+        <<optional>>Affero<</optional>> General Public License for more details.""",
     ),
+    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at"),
+    ("bsd-2-clause", f"{_BSD_TERMS} {_BSD_WARRANTY}"),
+    ("bsd-3-clause", f"{_BSD_TERMS} {_BSD_NAMES} {_BSD_WARRANTY}"),
     (
         "isc",
-        """Permission to use, copy, modify, <<optional>>and/or<</optional>> <<optional>>and<</optional>> distribute this software for any
+        """Permission to use, copy, modify, <<optional>>and<</optional>> <<optional>>or<</optional>> distribute this software for any
         purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice
-        appear in all copies.""",
+        appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND <<var:20>> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE
+        INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL <<var:20>> BE LIABLE FOR ANY SPECIAL,
+        DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN
+        AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF
+        THIS SOFTWARE.""",
     ),
-    ("cc", "licensed under <<optional>>a<</optional>> <<optional>>creative commons<</optional>> <<optional>>cc<</optional>> <<optional>>attribution<</optional>> by <<optional>>nc<</optional>> <<optional>>sa<</optional>> <<optional>>nd<</optional>> <<var:1>>"),
 ]
 
 _MARK = re.compile(r"<<optional>>|<</optional>>|<<var:(\d+)>>")
@@ -104,6 +130,8 @@ class TokenAutomaton:
         starts = {self.edge[s] for s in self.closed[0] if s != self.end}
         if self.end in self.closed[0] or None in starts:
             raise ValueError("a template needs a mandatory word before and apart from its regions")
+        if any(self.end in c for c in self.closed[: self.end]):
+            raise ValueError("a template needs a mandatory word behind its regions, which would match nothing there")
         self.starts = starts
         self.words = {w for w in self.edge if w is not None}
 
