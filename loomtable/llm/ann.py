@@ -1,8 +1,8 @@
 """Approximate nearest neighbours by collision counting over query-aware windows.
 
 The index is cut into shards of bounded size.  A shard keeps, for each random
-projection, its rows' projections in a sorted array, and each row's place in
-it.  A query opens a window around its own projection in every array, found
+projection, its rows in the order of their projections; the sorted array of
+the projections themselves follows from the vectors.  A query opens a window around its own projection in every array, found
 by two binary searches; a row collides where its place lies inside.  Virtual
 rehashing widens all windows of a query by a factor until enough rows collide
 in ``collide`` of the arrays.  Only those rows are verified by their true
@@ -26,10 +26,10 @@ from loomtable.llm.vectors import narrow, parsed, query_blocks, usable
 
 #: Projections; share of arrays in which a row must collide; share of a shard's rows to verify, and how many besides;
 #: first half-width (in units of the largest norm) and the factor of widening; rows of a shard.
-PROJECTIONS, COLLIDE, VERIFY, VERIFY_MORE, HALF_WIDTH, WIDEN, SHARD_ROWS = 48, 0.7, 0.35, 500, 1.2, 1.1, 8192
+PROJECTIONS, COLLIDE, VERIFY, VERIFY_MORE, HALF_WIDTH, WIDEN, SHARD_ROWS = 192, 0.7, 0.1, 100, 1.1, 1.05, 8192
 #: Queries whose windows are counted at once.
 TOGETHER = 64
-_INDEX = "n int, ids binary, vectors binary, keys binary, ranks binary"
+_INDEX = "n int, ids binary, vectors binary, places binary"
 
 
 def _extent(base: DataFrame) -> tuple[int, float]:
@@ -50,19 +50,28 @@ def directions(dims: int, seed: int = 7) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((PROJECTIONS, dims + 1))
 
 
+def projections(m: np.ndarray, norm: float) -> np.ndarray:
+    """A row a direction: the keys of all vectors, lifted to one norm."""
+    a = directions(m.shape[1])
+    more = np.sqrt(np.maximum(0.0, 1.0 - ((m / norm) ** 2).sum(axis=1)))
+    return a[:, :-1] @ (m / norm).T + a[:, -1:] * more[None, :]
+
+
+def _exact(m: np.ndarray) -> bytes:
+    """Components in single precision where that loses nothing, else in double."""
+    single = m.astype("<f4")
+    return single.tobytes() if (single == m).all() else m.astype("<f8").tobytes()
+
+
 def build_index(base: DataFrame, dims: int, norm: float) -> DataFrame:
-    """A row a shard: ids, vectors (double), and for each projection the sorted keys and each row's rank among them."""
+    """A row a shard: ids, vectors, and for each projection the places of rows in ascending order of their keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = directions(dims)
-
         def shard(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
             ids, m = np.concatenate([p[0] for p in parts]), np.vstack([p[1] for p in parts])
-            more = np.sqrt(np.maximum(0.0, 1.0 - ((m / norm) ** 2).sum(axis=1)))
-            keys = a[:, :-1] @ (m / norm).T + a[:, -1:] * more[None, :]
-            order = np.argsort(keys, axis=1, kind="stable")
-            data = (ids.astype("<i8"), m.astype("<f8"), np.take_along_axis(keys, order, 1).astype("<f4"), np.argsort(order, axis=1).astype("<u2"))
-            return pa.RecordBatch.from_arrays([pa.array([len(ids)], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in data)], names=["n", "ids", "vectors", "keys", "ranks"])
+            order = np.argsort(projections(m, norm), axis=1, kind="stable").astype("<u2")
+            data = (ids.astype("<i8").tobytes(), _exact(m), order.tobytes())
+            return pa.RecordBatch.from_arrays([pa.array([len(ids)], pa.int32()), *(pa.array([x], pa.binary()) for x in data)], names=["n", "ids", "vectors", "places"])
 
         held, size = [], 0
         for ids, m in parsed(batches, dims, SHARD_ROWS):
@@ -104,7 +113,7 @@ def collisions(keys: np.ndarray, ranks: np.ndarray, centres: np.ndarray, collide
     return out
 
 
-def search(index: DataFrame, q_ids: np.ndarray, q: np.ndarray, k: int, dims: int) -> DataFrame:
+def search(index: DataFrame, q_ids: np.ndarray, q: np.ndarray, k: int, dims: int, norm: float) -> DataFrame:
     """Each shard's k best verified rows for every query of a block: q, vec_id, score."""
     shared = index.sparkSession.sparkContext.broadcast((q_ids, q))
 
@@ -113,9 +122,12 @@ def search(index: DataFrame, q_ids: np.ndarray, q: np.ndarray, k: int, dims: int
         centres = directions(dims)[:, :-1] @ (queries / np.linalg.norm(queries, axis=1, keepdims=True)).T
         single = queries.astype(np.float32)
         for b in batches:
-            for n, ids, m, keys, ranks in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                ids, m = np.frombuffer(ids, "<i8"), np.frombuffer(m, "<f8").reshape(n, dims)
-                keys, ranks = np.frombuffer(keys, "<f4").reshape(-1, n), np.frombuffer(ranks, "<u2").reshape(-1, n)
+            for n, ids, m, order in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                ids, m = np.frombuffer(ids, "<i8"), np.frombuffer(m, "<f4" if len(m) == 4 * n * dims else "<f8").astype(float).reshape(n, dims)
+                order = np.frombuffer(order, "<u2").reshape(-1, n)
+                keys = np.take_along_axis(projections(m, norm), order, 1).astype(np.float32)
+                ranks = np.empty_like(order)
+                np.put_along_axis(ranks, order, np.arange(n, dtype=np.uint16)[None, :], 1)
                 rough, length = m.astype(np.float32), np.linalg.norm(m, axis=1).max()
                 want, collide = min(n, k + VERIFY_MORE + int(VERIFY * n)), int(np.ceil(COLLIDE * len(keys)))
                 out: list[list[np.ndarray]] = [[], [], []]
@@ -162,7 +174,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
             ids, m = ids[some], m[some]
             if not len(ids):
                 continue
-            found = search(spread, ids, m, k, dims)
+            found = search(spread, ids, m, k, dims, norm)
             names = spark.createDataFrame(list(enumerate(ids.tolist())), "q long, query_id long")
             rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))
             best = written(found.withColumn("rank", rank).where(F.col("rank") <= k).join(names, "q").select("query_id", "rank", "vec_id", "score"), f"{path}/block{number}")
