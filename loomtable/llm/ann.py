@@ -26,7 +26,9 @@ from loomtable.llm.vectors import narrow, parsed, query_blocks, usable
 
 #: Projections; share of arrays in which a row must collide; share of a shard's rows to verify, and how many besides;
 #: first half-width (in units of the largest norm) and the factor of widening; rows of a shard.
-PROJECTIONS, COLLIDE, VERIFY, VERIFY_MORE, HALF_WIDTH, WIDEN, SHARD_ROWS = 192, 0.7, 0.1, 100, 1.1, 1.05, 8192
+PROJECTIONS, COLLIDE, VERIFY, VERIFY_MORE, HALF_WIDTH, WIDEN, SHARD_ROWS = 160, 0.7, 0.1, 100, 1.1, 1.05, 8192
+#: One row in so many tells the first width of the windows.
+PILOT = 16
 #: Queries whose windows are counted at once.
 TOGETHER = 64
 _INDEX = "n int, ids binary, vectors binary, places binary"
@@ -91,25 +93,50 @@ def build_index(base: DataFrame, dims: int, norm: float) -> DataFrame:
     return base.mapInArrow(run, _INDEX)
 
 
+def _collide(keys: np.ndarray, ranks: np.ndarray, centres: np.ndarray, half: np.ndarray, least: int) -> np.ndarray:
+    """For each query whether each row of ``ranks`` lies in at least ``least`` of its windows."""
+    seen = np.zeros((len(half), ranks.shape[1]), np.uint8)
+    for key, rank, centre in zip(keys, ranks, centres, strict=True):
+        left, right = np.searchsorted(key, centre - half, "left"), np.searchsorted(key, centre + half, "right")
+        # a rank before the window's start wraps around and is too large
+        seen += (rank[None, :] - left.astype(np.uint16)[:, None]) < (right - left).astype(np.uint16)[:, None]
+    return seen >= least
+
+
 def collisions(keys: np.ndarray, ranks: np.ndarray, centres: np.ndarray, collide: int, want: int) -> list[np.ndarray]:
-    """For each query (column of ``centres``) the rows in at least ``collide`` windows, when windows are as wide as it takes to have ``want`` of them."""
-    n = keys.shape[1]
-    out: list = [None] * centres.shape[1]
-    active, half = np.arange(centres.shape[1]), np.float32(HALF_WIDTH)
-    centres = centres.astype(np.float32)
-    while len(active):
-        seen = np.zeros((len(active), n), np.uint8)
-        whole = np.ones(len(active), bool)
-        for key, rank, centre in zip(keys, ranks, centres[:, active], strict=True):
-            left, right = np.searchsorted(key, centre - half, "left"), np.searchsorted(key, centre + half, "right")
-            # a rank before the window's start wraps around and is too large
-            seen += (rank[None, :] - left.astype(np.uint16)[:, None]) < (right - left).astype(np.uint16)[:, None]
-            whole &= (left == 0) & (right == n)
-        hits = seen >= collide
-        done = whole | (np.count_nonzero(hits, axis=1) >= want)
-        for j in np.flatnonzero(done):
-            out[active[j]] = np.flatnonzero(hits[j])
-        active, half = active[~done], half * np.float32(WIDEN)
+    """For each query (column of ``centres``) the rows in at least ``collide`` windows, at the first width at which ``want`` of them do.
+
+    Every PILOT-th row tells the width from which all rows are counted; from
+    there the windows are widened, or narrowed, to the first width that will do.
+    """
+    n, queries = keys.shape[1], centres.shape[1]
+    want, centres = min(want, n), centres.astype(np.float32)
+    widths = [np.float32(HALF_WIDTH)]
+    at = np.zeros(queries, np.int64)
+
+    def half(of: np.ndarray) -> np.ndarray:
+        while len(widths) <= at[of].max():
+            widths.append(widths[-1] * np.float32(WIDEN))
+        return np.array(widths, np.float32)[at[of]]
+
+    some, todo = np.ascontiguousarray(ranks[:, ::PILOT]), np.arange(queries)
+    while len(todo):
+        hits = np.count_nonzero(_collide(keys, some, centres[:, todo], half(todo), collide), axis=1)
+        todo = todo[hits * n < want * some.shape[1]]
+        at[todo] += 1
+    out: list = [None] * queries
+    short, todo = np.zeros(queries, bool), np.arange(queries)
+    while len(todo):
+        hits = _collide(keys, ranks, centres[:, todo], half(todo), collide)
+        enough = np.count_nonzero(hits, axis=1) >= want
+        for j, ok, row in zip(todo, enough, hits, strict=True):
+            if ok:
+                out[j] = np.flatnonzero(row)
+        short[todo[~enough]] = True
+        # narrower while no narrower width has been too narrow, wider while none was wide enough
+        more = np.array([not short[j] and at[j] > 0 if ok else out[j] is None for j, ok in zip(todo, enough, strict=True)], bool)
+        at[todo] += np.where(enough, -1, 1)
+        todo = todo[more]
     return out
 
 
