@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomtable.llm.common import bounded_batches, id_crc, pieces, trimmed
+from loomtable.llm.common import bounded_batches, id_crc, pieces, trim, trimmed
 
 #: Hashed features; n-gram lengths; documents scored at once.
 DIMS, ORDERS, CHUNK = 1 << 15, (1, 2, 3), 64
@@ -200,6 +200,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     ``und`` with score 0 is given to texts that are null or have no letter,
     and to all texts if there is no model.
     """
+    trim()  # the sample that the model was learned from
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([f for f in docs.schema if f.name != "text"] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     at = docs.columns.index("text")
