@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtable.llm.common import bounded_batches, dropped, partitions, pieces, released, salted_join, trimmed, work_dir, written
@@ -49,6 +49,12 @@ BUCKET_BYTES, MOST_BUCKETS = 32 << 20, 1 << 16
 FEW = 8
 #: Rounds in which classes are tied to leaders before the pairs that are left are compared.
 ROUNDS = 3
+#: Another round follows one that found at least the first one's links by this number.
+WORTH = 16
+#: A token gives a pair in the last comparison only if the classes have none in common among so many tokens before it.
+BEFORE = 8
+#: Classes whose texts are found by a list of them; of more, by a filter of bits and a join.
+LISTED = 1 << 21
 #: Ranges of the hash that signatures count, and the 64-bit words that hold their two bits each.
 BINS = 256
 WORDS = BINS // 32
@@ -278,10 +284,12 @@ def _allowed(x: str, y: str, n: str, m: str, percent: int) -> str:
     return f"{100 + percent}L * ({_differ(x, y)}) <= {100 - percent}L * ({n} + {m})"
 
 
-def _near(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
-    """(u, v, far) of pairs (u, v) whose signatures allow the similarity; far is the part of both sets that must differ."""
-    # a leader's signature is dealt over some tasks, as all of a large group may have it
-    near = salted_join(pairs, signs.withColumnRenamed("node", "v").withColumnRenamed("n", "m"), ["v"], F.col("u"), 8).alias("p").join(signs.alias("q"), F.col("p.u") == F.col("q.node"))
+def _near(pairs: DataFrame, signs: DataFrame, percent: int, salts: int = 8) -> DataFrame:
+    """(u, v, far) of pairs (u, v) whose signatures allow the similarity; far is the part of both sets that must differ.
+
+    The signature of a v that many pairs have, as a leader, is dealt over ``salts`` tasks.
+    """
+    near = salted_join(pairs, signs.withColumnRenamed("node", "v").withColumnRenamed("n", "m"), ["v"], F.col("u"), salts).alias("p").join(signs.alias("q"), F.col("p.u") == F.col("q.node"))
     return near.where(_allowed("p", "q", "q.n", "p.m", percent)).select("u", "v", F.expr(f"({_differ('p', 'q')}) / double(q.n + p.m)").alias("far"))
 
 
@@ -299,20 +307,67 @@ def _leaders(placed: DataFrame, signs: DataFrame, number: int, percent: int) ->
     ends = ends.select("token", "band", F.explode(F.array_distinct(F.transform("ls", lambda x: x.dropFields("order")))).alias("l")).select("token", "band", F.col("l.node").alias("v"), F.col("l.root").alias("rv"), F.col("l.n").alias("m"), F.col("l.at").alias("b"))
     pairs = banded.join(ends, ["token", "band"]).where("root != rv").groupBy(F.col("node").alias("u"), "v").agg(F.min(F.struct(F.col("at").alias("a"), "b", "n", "m")).alias("f"))
     pairs = pairs.select("u", "v", "f.*").where(_possible(percent)).select("u", "v")
-    # a leader's signature is dealt over some tasks, as all of a large group may have it
     near = _near(pairs, signs, percent)
     best = near.groupBy("u").agg(F.min(F.struct("far", "v")).alias("x"))
     return best.select("u", F.col("x.v").alias("v"))
 
 
+def _apart(placed: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) of classes of different components that share a token of ``placed`` and whose signatures allow the similarity.
+
+    The largest component of a token is never compared within itself.  A pair
+    is made of few of its tokens: of none with another common one among the
+    BEFORE tokens before it in either class.  The first common token (all
+    classes have their tokens in one order) has none, so no pair is lost.
+    """
+    major = placed.groupBy("token", "root").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "root")).alias("big")).select("token", F.col("big.root").alias("major"))
+    before = F.collect_list("token").over(Window.partitionBy("node").orderBy("at").rowsBetween(-BEFORE, -1))
+    within = placed.withColumn("before", before).join(major, "token").join(signs.drop("n"), "node")
+    left = within.where("root != major").select("token", F.col("node").alias("u"), "n", F.col("at").alias("a"), F.col("root").alias("ru"), "before", *SIGN)
+    right = within.select("token", F.col("node").alias("v"), F.col("n").alias("m"), F.col("at").alias("b"), F.col("root").alias("rv"), (F.col("root") == F.col("major")).alias("rest"), "before", *SIGN)
+    need = f"ceil({percent}L * (x.n + y.m) / {100 + percent}D - 1e-9)"
+    fits = f"x.token = y.token AND x.ru != y.rv AND (y.rest OR x.u < y.v) AND {percent}L * greatest(x.n, y.m) <= 100L * least(x.n, y.m) AND least(x.a, y.b) + 1 + least(x.n - 1 - x.a, y.m - 1 - y.b) >= {need} AND {_allowed('x', 'y', 'x.n', 'y.m', percent)} AND NOT arrays_overlap(x.before, y.before)"
+    return left.alias("x").join(right.alias("y"), F.expr(fits)).select("u", "v")
+
+
+def _listed_sets(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """As ``_sets``, by a sorted list of (rep, node): no set moves."""
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([pack(c.to_numpy().astype("<i8"))], pa.binary()) for c in b.columns], names=["reps", "nodes"])
+
+    found = wanted.select("rep", "node").mapInArrow(listed, "reps binary, nodes binary").collect()
+    reps, nodes = (np.concatenate([np.zeros(0, "<i8"), *(unpack(r[k], "<i8") for r in found)]) for k in range(2))
+    order = np.argsort(reps, kind="stable")
+    shared = texts.sparkSession.sparkContext.broadcast((reps[order], nodes[order]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reps, nodes = shared.value
+        for batch, xs in pieces(batches, 1):
+            ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            low, high = np.searchsorted(reps, ids, "left"), np.searchsorted(reps, ids, "right")
+            some = np.flatnonzero((low < high) & np.asarray(batch.column(0).is_valid()))
+            if len(some):
+                sets = shingle_sets([xs[k] for k in some], width)
+                made = [(x, s) for k, x, s in zip(some, map(_node, sets), sets, strict=True) if x in nodes[low[k] : high[k]]]
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in made], pa.int64()), pa.array([_set_cell(s) for _, s in made], pa.binary())], names=["node", "cell"])
+
+    return texts.mapInArrow(trimmed(run), "node long, cell binary")
+
+
 def _sets(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """(node, cell): the set of each class of ``wanted`` (node, rep).
 
-    Texts are scanned once; a filter of bits, sized by the classes, passes
-    over most of the others, and the rest of them is dropped by a join.
+    Texts are scanned once.  Up to LISTED classes every task has a list of
+    them; of more, a filter of bits, sized by the classes, passes over most of
+    the other texts, and the rest of them is dropped by a join.
     """
     spark = texts.sparkSession
-    size = min(MOST_FILTER, max(LEAST_FILTER, 1 << (FILTER_SHARE * wanted.count()).bit_length()))
+    number = wanted.count()
+    if number <= LISTED:
+        return _listed_sets(texts, wanted, width)
+    size = min(MOST_FILTER, max(LEAST_FILTER, 1 << (FILTER_SHARE * number).bit_length()))
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(size // 8, np.uint8)
@@ -359,19 +414,33 @@ def similar(x: bytes, y: bytes, percent: int) -> bool:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (u, v) of pairs (u, v) whose sets are similar; pairs of a hot v are dealt over copies of its set."""
+    """Links (u, v) of pairs (u, v) whose sets are similar.
+
+    Pairs go by v; those of a hot v are dealt over copies of its set.  Sets
+    are dealt out once, each to all places that need it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, own = None, b""
         for b in batches:
-            mask = pa.array([similar(x, y, percent) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], names=["u", "v"])
+            us, vs = [], []
+            for v, s, is_u, node, cell in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if not is_u:
+                    place, own = (v, s), cell
+                elif place != (v, s):
+                    raise ValueError(f"no set of class {v}")
+                elif similar(cell, own, percent):
+                    us.append(node)
+                    vs.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
     share = 128
     degree = pairs.groupBy("v").agg(F.count("*").alias("d"))
-    copies = degree.join(sets, degree["v"] == sets["node"]).select("v", F.col("cell").alias("y"), F.explode(F.sequence(F.lit(0), F.floor(F.col("d") / share).cast("int"))).alias("s"))
     dealt = pairs.join(degree, "v").select("u", "v", F.pmod(F.xxhash64("u"), F.floor(F.col("d") / share) + 1).cast("int").alias("s"))
-    dealt = dealt.join(sets.select(F.col("node").alias("u"), F.col("cell").alias("x")), "u")
-    return dealt.join(copies, ["v", "s"]).select("u", "v", "x", "y").mapInArrow(trimmed(run), "u long, v long")
+    copies = degree.select("v", F.explode(F.sequence(F.lit(0), F.floor(F.col("d") / share).cast("int"))).alias("s"))
+    ends = dealt.select(F.col("u").alias("node"), "v", "s", F.lit(True).alias("is_u")).unionByName(copies.select(F.col("v").alias("node"), "v", "s", F.lit(False).alias("is_u")))
+    cells = sets.join(ends, "node").select("v", "s", "is_u", "node", "cell")
+    return cells.repartition("v", "s").sortWithinPartitions("v", "s", "is_u").mapInArrow(trimmed(run), "u long, v long")
 
 
 def _grouped(docs: DataFrame, percent: int, width: int) -> DataFrame:
@@ -400,7 +469,7 @@ def _grouped(docs: DataFrame, percent: int, width: int) -> DataFrame:
     released(spark)
 
     everyone = classes.select("node", "n", *SIGN)
-    few = written(_near(found.where("token IS NULL").select(F.col("node").alias("u"), F.col("other").alias("v")).distinct(), everyone, percent).select("u", "v"), f"{path}/few")
+    few = written(_near(found.where("token IS NULL").select(F.col("node").alias("u"), F.col("other").alias("v")).distinct(), everyone, percent, 1).select("u", "v"), f"{path}/few")
     postings = found.where("token IS NOT NULL").select("token", "node", "n", "at")
     several = postings.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("token")
     placed = written(postings.join(several, "token", "left_semi").withColumn("root", F.col("node")), f"{path}/placed")
@@ -418,7 +487,9 @@ def _grouped(docs: DataFrame, percent: int, width: int) -> DataFrame:
         tried = _leaders(placed, signs, k, percent)
         tried = written(tried if k else tried.unionByName(few).distinct(), f"{path}/tried{k}")
         found = written(_verified(tried, sets, percent).distinct(), f"{path}/links{k}")
-        if not found.limit(1).count():
+        number = found.count()
+        first = number if not k else first
+        if not number:
             break
         links = links.unionByName(found)
         root = components(links, f"{path}/components{k}")
@@ -428,16 +499,10 @@ def _grouped(docs: DataFrame, percent: int, width: int) -> DataFrame:
         placed = written(whole.join(split, "token", "left_semi"), f"{path}/placed{k}")
         dropped(spark, f"{path}/placed{k - 1}" if k else f"{path}/placed")
         released(spark)
+        if number * WORTH < first:
+            break
 
-    # pairs that are left; the largest component of a token is never compared within itself
-    major = placed.groupBy("token", "root").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "root")).alias("big")).select("token", F.col("big.root").alias("major"))
-    within = placed.join(major, "token").join(signs.drop("n"), "node")
-    left = within.where("root != major").select("token", F.col("node").alias("u"), "n", F.col("at").alias("a"), F.col("root").alias("ru"), *SIGN)
-    right = within.select("token", F.col("node").alias("v"), F.col("n").alias("m"), F.col("at").alias("b"), F.col("root").alias("rv"), (F.col("root") == F.col("major")).alias("rest"), *SIGN)
-    need = f"ceil({percent}L * (x.n + y.m) / {100 + percent}D - 1e-9)"
-    fits = f"x.token = y.token AND x.ru != y.rv AND (y.rest OR x.u < y.v) AND {percent}L * greatest(x.n, y.m) <= 100L * least(x.n, y.m) AND least(x.a, y.b) + 1 + least(x.n - 1 - x.a, y.m - 1 - y.b) >= {need} AND {_allowed('x', 'y', 'x.n', 'y.m', percent)}"
-    more = left.alias("x").join(right.alias("y"), F.expr(fits)).select("u", "v").distinct()
-    more = written(more, f"{path}/pairs")
+    more = written(_apart(placed, signs, percent).distinct(), f"{path}/pairs")
     released(spark)
     links = links.unionByName(written(_verified(more, sets, percent).distinct(), f"{path}/links"))
     root = components(links, f"{path}/components")

@@ -276,6 +276,54 @@ def test_jaccard_of_many_near_copies(spark):
     assert got == {i: find(i) for i in range(120)}
 
 
+def test_jaccard_pairs_of_many_tokens_come_once(spark):
+    """Classes that share many tokens give a pair once, not once a token; a pair of a late token isn't lost."""
+    zero = [f"0L AS {w}" for w in jaccard.SIGN]
+    rows = [(t, k, 300, t, k) for k in range(12) for t in range(40)]  # alike
+    rows += [(1000 + 10 * k + t, k, 300, 40 + t, k) for k in range(12) for t in range(8)] + [(5000, k, 300, 48, k) for k in (20, 21)] + [(6000 + k, k, 300, 2, k) for k in (20, 21)]
+    placed = spark.createDataFrame(rows, "token long, node long, n long, at int, root long")
+    signs = placed.select("node", "n").distinct().selectExpr("node", "n", *zero)
+    got = [(min(r), max(r)) for r in jaccard._apart(placed, signs, 80).collect()]
+    assert sorted(got) == sorted([(i, j) for j in range(12) for i in range(j)] + [(20, 21)])
+    # every third token is missing in each class: again all pairs, and few of them twice
+    some = placed.where("node < 12 AND token < 40 AND hash(token, node) % 3 != 0")
+    got = [(min(r), max(r)) for r in jaccard._apart(some, signs, 80).collect()]
+    assert set(got) == {(i, j) for j in range(12) for i in range(j)} and len(got) < 100
+
+
+def test_jaccard_sets_of_classes(spark, docs, monkeypatch):
+    """The list and the filter find the same sets: of a class's own row alone, one of two texts with its id included."""
+    more = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(4, "another text under the id of four"), (300, None)], "doc_id long, text string")).where("doc_id IS NOT NULL")
+    texts = jaccard._texts(more)
+    want = {}
+    for r in more.collect():
+        (s,) = jaccard.shingle_sets([(r["text"] or "").encode()], 5)
+        if len(s):
+            x = jaccard._node(s)
+            want[x] = (min(r["doc_id"], want.get(x, (r["doc_id"],))[0]), jaccard._set_cell(s))
+    wanted = spark.createDataFrame([(x, i) for x, (i, _) in want.items() if i % 3 or i == 300], "node long, rep long")
+    for listed in (jaccard.LISTED, -1):
+        monkeypatch.setattr(jaccard, "LISTED", listed)
+        got = {(r["node"], bytes(r["cell"])) for r in jaccard._sets(texts, wanted, 5).collect()}
+        assert got == {(x, c) for x, (i, c) in want.items() if i % 3}
+        assert jaccard._sets(texts, wanted.limit(0), 5).collect() == []
+
+
+def test_jaccard_verification(spark):
+    """Similar pairs of a hot class and of others, from one copy of each set; a class without a set is an error."""
+    r = np.random.default_rng(6)
+    base = np.unique(r.integers(0, 2**63, 100).astype(np.uint64))
+    sets = {k: np.unique(np.concatenate([base[: 100 - k % 30], r.integers(0, 2**63, k % 7).astype(np.uint64)])) for k in range(400)}
+    pairs = [(k, 0) for k in range(1, 400)] + [(k, k + 1) for k in range(1, 399, 2)] + [(0, 7)]
+    cells = spark.createDataFrame([(k, jaccard._set_cell(s)) for k, s in sets.items()], "node long, cell binary")
+    frame = spark.createDataFrame(pairs, "u long, v long").repartition(3)
+    want = Counter((u, v) for u, v in pairs if 100 * len(np.intersect1d(sets[u], sets[v])) >= 80 * len(np.union1d(sets[u], sets[v])))
+    assert 0 < sum(want.values()) < len(pairs)
+    assert Counter(map(tuple, jaccard._verified(frame, cells, 80).collect())) == want
+    with pytest.raises(Exception, match="no set of class 0"):
+        jaccard._verified(frame, cells.where("node != 0"), 80).collect()
+
+
 def test_word_hashes():
     texts = [(t[1] or "").encode() for t in documents()]
     h, counts = word_hashes(texts)
